@@ -1,0 +1 @@
+"""No streaming rules: an audit is always a fresh batch over whole listings."""
