@@ -144,19 +144,21 @@ def _extract(pattern: str) -> Column:
     return F.when(body.rlike(pattern), strip(F.regexp_extract(body, pattern, 1)))
 
 
-def version_aggregates(policy: AuditPolicy) -> list[Column]:
-    """Per-repository version strings; a missing or one-line setup.cfg counts as unreadable."""
+def version_facts(policy: AuditPolicy) -> dict[str, Column]:
+    """Version strings of one file; null for files that carry none.
+
+    A missing or one-line setup.cfg counts as unreadable.
+    """
     second = F.regexp_extract("content", "^[^\r\n]*(?:\r\n|\n|\r)([^\r\n]*)", 1)
     cfg = F.nullif(F.regexp_extract(second, r"=\s*(\S+)", 1), F.lit(""))
     readable = F.col("content").rlike("^[^\r\n]*(?:\r\n|\n|\r)(?s:.)")
-    pick = lambda test, value: F.max(F.when(test, value))
-    return [
-        pick(_fixed("setup.cfg"), cfg).alias("v_cfg"),
-        pick(_fixed("setup.py"), _extract(r"""version=["'](.*?)["']""")).alias("v_py"),
-        pick(_fixed("__init__.py", True), _extract(r"""__version__\s*=\s*["'](.*?)["']""")).alias("v_init"),
-        pick(_fixed(policy.build_file), _extract(r"""version\s*=\s*["'](.*?)["']""")).alias("v_build"),
-        F.coalesce(F.bool_or(F.when(_fixed("setup.cfg"), readable)), F.lit(False)).alias("cfg_readable"),
-    ]
+    return {
+        "v_cfg": F.when(_fixed("setup.cfg"), cfg),
+        "v_py": F.when(_fixed("setup.py"), _extract(r"""version=["'](.*?)["']""")),
+        "v_init": F.when(_fixed("__init__.py", True), _extract(r"""__version__\s*=\s*["'](.*?)["']""")),
+        "v_build": F.when(_fixed(policy.build_file), _extract(r"""version\s*=\s*["'](.*?)["']""")),
+        "cfg_readable": F.when(_fixed("setup.cfg"), readable),
+    }
 
 
 def found_versions() -> Column:
@@ -168,7 +170,10 @@ def versions_consistent() -> Column:
 
 
 def repo_versions(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
-    return files.groupBy(*REPO_KEY).agg(*version_aggregates(policy))
+    """The version strings of each repository's four version files."""
+    facts = version_facts(policy)
+    readable = F.coalesce(F.bool_or(facts.pop("cfg_readable")), F.lit(False)).alias("cfg_readable")
+    return files.groupBy(*REPO_KEY).agg(*(F.max(v).alias(name) for name, v in facts.items()), readable)
 
 
 def _version_rows(policy: AuditPolicy) -> Column:
