@@ -153,7 +153,7 @@ CTE["seeds"] = r"""
 SELECT *, regexp_extract(text, '([A-Z][a-z]+[^.' || chr(10) || ']*)', 1) AS sent,
   lower(coalesce(nullif(regexp_extract(text, '([A-Za-z][a-z]+)', 1), ''), 'word')) AS w1,
   lower(coalesce(nullif(regexp_extract(text, '[A-Za-z][a-z]+[^A-Za-z]+([A-Za-z][a-z]+)', 1), ''), 'term')) AS w2,
-  lower(coalesce(nullif(regexp_extract(text, '(\p{L}*[^\x00-\x7F]\p{L}*)', 1), ''), 'value')) AS w3,
+  lower(coalesce(nullif(regexp_extract(text, '(?:^|[^A-Za-z])([A-Za-z]*[^\x00-\x7F]\p{L}*)', 1), ''), 'value')) AS w3,
   '1.' || (k % 3) || CASE WHEN doc_id % 17 = 0 THEN '.9' ELSE '.0' END AS ver
 FROM placed"""
 

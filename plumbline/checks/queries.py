@@ -112,10 +112,6 @@ def json_fields(documents: DataFrame) -> DataFrame:
     )
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.read_table(spark, sf_dir, "documents")
-
-
 def queries() -> dict[str, Query]:
     registry: dict[str, Query] = {}
     for name, rule in LISTING_RULES.items():
@@ -123,12 +119,12 @@ def queries() -> dict[str, Query]:
     for name, rule in FILE_RULES.items():
         registry[name] = lambda spark, sf_dir, rule=rule: rule(corpus.repo_files(spark, sf_dir))
     for name, rule in DOCUMENT_RULES.items():
-        registry[name] = lambda spark, sf_dir, rule=rule: rule(_documents(spark, sf_dir))
+        registry[name] = lambda spark, sf_dir, rule=rule: rule(corpus.documents(spark, sf_dir))
     for name, rule in DICTIONARY_RULES.items():
         registry[name] = lambda spark, sf_dir, rule=rule: rule(
-            corpus.repo_files(spark, sf_dir), language.english_dictionary(_documents(spark, sf_dir)))
+            corpus.repo_files(spark, sf_dir), language.english_dictionary(corpus.documents(spark, sf_dir)))
     for name, rule in REQUEST_RULES.items():
         registry[name] = lambda spark, sf_dir, rule=rule: rule(corpus.audit_requests(spark, sf_dir))
     registry["english_texts"] = lambda spark, sf_dir: language.english_texts(
-        _documents(spark, sf_dir), language.english_dictionary(_documents(spark, sf_dir)))
+        corpus.documents(spark, sf_dir), language.english_dictionary(corpus.documents(spark, sf_dir)))
     return registry

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,10 +23,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def any_of(tests: Iterable[Column]) -> Column:
     """OR of the given tests; false when there are none."""
-    result = F.lit(False)
-    for test in tests:
-        result = result | test
-    return result
+    tests = list(tests)
+    return reduce(or_, tests) if tests else F.lit(False)
 
 
 def basename(path: Column) -> Column:

@@ -97,7 +97,8 @@ def error_bullets(errors: Column) -> Column:
 
 def extract_constants(files: DataFrame) -> DataFrame:
     rows = with_constants(files.filter(scopes.is_python()), F.lit(True))
-    return rows.select(*FILE_KEY, F.inline("constants")).select(
+    # The outer form keeps Spark from computing the constants once more in a filter.
+    return rows.select(*FILE_KEY, F.inline_outer("constants")).filter(F.col("name").isNotNull()).select(
         *FILE_KEY, "pos", "name", value_kind(F.col("type")).alias("value_kind"),
         F.col("size").alias("n_elems"), F.col("text").alias("value_text"), F.col("type").alias("value_type"),
     )

@@ -117,39 +117,44 @@ def english_texts(documents: DataFrame, dictionary: DataFrame, policy: AuditPoli
 
 
 def _item(kind: int, indent: Column, fn_pos: Column, fn_name: Column, pos: Column, detail: Column,
-          whole: Column, parts: Column, part_known: Column) -> Column:
-    """One thing to judge: keys of its whole-text test, and of its part-by-part test."""
+          whole: Column, parts: Column, n_parts: Column) -> Column:
+    """One thing to judge: words of its whole-text test, and of its part-by-part test."""
     return F.struct(
         F.lit(kind).alias("kind"), indent.alias("indent"), fn_pos.alias("fn_pos"), fn_name.alias("fn_name"),
-        pos.cast("int").alias("item_pos"), detail.alias("detail"), whole.alias("whole_keys"),
-        parts.alias("part_keys"), part_known.alias("n_known"),
+        pos.cast("int").alias("item_pos"), detail.alias("detail"), whole.alias("whole"),
+        parts.alias("parts"), n_parts.alias("n_parts"),
     )
 
 
-def _no_keys() -> Column:
-    return F.array().cast("array<string>")
+ITEM_FIELDS = ("kind", "indent", "fn_pos", "fn_name", "item_pos", "detail", "n_parts")
 
 
-def _docstring_items(fn: Column, fn_pos: Column, policy: AuditPolicy) -> Column:
-    lines = F.transform(F.split(fn["docstring"], "\n", -1), strip)
+def _with_keys(items: Column, policy: AuditPolicy) -> Column:
+    """Words of the items reduced to the keys only the dictionary can decide."""
+    keyed = F.transform(items, lambda it: F.struct(
+        *(it[f].alias(f) for f in ITEM_FIELDS),
+        F.array_distinct(unknown_keys(it["whole"], policy)).alias("whole_keys"),
+        unknown_keys(it["parts"], policy).alias("part_keys"),
+    ))
+    return F.filter(keyed, lambda it: (it["kind"] >= UNDOCUMENTED) | (F.size(it["whole_keys"]) > 0))
+
+
+def _no_words() -> Column:
+    return F.expr("cast(array() AS array<string>)")
 
-    def item(line: Column, i: Column) -> Column:
-        words = raw_words(line)
-        split = let(words, lambda w: let(unknown_keys(w, policy), lambda keys: F.struct(
-            keys.alias("keys"), (F.size(w) - F.size(keys)).alias("n_known")
-        )))
-        return let(split, lambda parts: _item(
-            DOCSTRING, fn["indent"], fn_pos, fn["name"], i + 1, line,
-            F.array_distinct(unknown_keys(telling_words(line), policy)), parts["keys"], parts["n_known"],
-        ))
 
+def _docstring_items(fn: Column, fn_pos: Column, policy: AuditPolicy) -> Column:
+    lines = F.transform(
+        F.split(fn["docstring"], "\n", -1), lambda line, i: F.struct(strip(line).alias("text"), (i + 1).alias("no"))
+    )
     checked = F.filter(
-        F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("i"))),
-        lambda it: (F.length(it["line"]) > policy.min_line_chars)
-        & ~starts_with_any(it["line"], (":", ">>>", "...", "#")),
+        lines,
+        lambda line: (F.length(line["text"]) > policy.min_line_chars) & ~line["text"].rlike(r"^(?::|>>>|\.\.\.|#)"),
     )
-    items = F.transform(checked, lambda it: item(it["line"], it["i"]))
-    return F.filter(items, lambda it: F.size(it["whole_keys"]) > 0)
+    return F.transform(checked, lambda line: let(raw_words(line["text"]), lambda words: _item(
+        DOCSTRING, fn["indent"], fn_pos, fn["name"], line["no"], line["text"],
+        telling_words(line["text"]), words, F.size(words),
+    )))
 
 
 def is_technical_param(name: Column) -> Column:
@@ -161,20 +166,20 @@ def is_technical_param(name: Column) -> Column:
 
 
 def _param_items(fn: Column, fn_pos: Column, policy: AuditPolicy) -> Column:
-    items = F.transform(
-        code.positional_params(fn["params"]),
-        lambda name, i: _item(
-            PARAMETER, fn["indent"], fn_pos, fn["name"], i, name,
-            F.array_distinct(unknown_keys(telling_words(name), policy)), _no_keys(), F.lit(0),
-        ),
+    params = F.transform(
+        code.positional_params(fn["params"]), lambda name, i: F.struct(name.alias("name"), i.alias("pos"))
+    )
+    return F.transform(
+        F.filter(params, lambda p: ~is_technical_param(p["name"])),
+        lambda p: _item(PARAMETER, fn["indent"], fn_pos, fn["name"], p["pos"], p["name"],
+                        telling_words(p["name"]), _no_words(), F.lit(0)),
     )
-    return F.filter(items, lambda it: ~is_technical_param(it["detail"]) & (F.size(it["whole_keys"]) > 0))
 
 
 def _drift_items(fn: Column, fn_pos: Column, policy: AuditPolicy) -> Column:
     def finding(kind: int, names: Column) -> Column:
         return _item(kind, fn["indent"], fn_pos, fn["name"], F.lit(0), F.array_join(names, ", "),
-                     _no_keys(), _no_keys(), F.lit(0))
+                     _no_words(), _no_words(), F.lit(0))
 
     def compare(lists: Column) -> Column:
         params, documented = lists["params"], lists["documented"]
@@ -198,16 +203,14 @@ def _drift_items(fn: Column, fn_pos: Column, policy: AuditPolicy) -> Column:
 
 
 def _variable_items(block: Column, policy: AuditPolicy) -> Column:
-    def item(name: Column, i: Column) -> Column:
-        parts = F.split(name, "_", -1)
-        keys = unknown_keys(F.filter(parts, lambda part: F.length(part) > 3), policy)
-        return let(keys, lambda unknown: _item(
+    """Parts of at most three characters count as English."""
+    return F.transform(
+        F.filter(block["variables"], is_telling_variable),
+        lambda name, i: let(F.split(name, "_", -1), lambda parts: _item(
             VARIABLE, block["indent"], block["pos"], block["name"], i, name,
-            F.array_distinct(unknown_keys(telling_words(name), policy)), unknown, F.size(parts) - F.size(unknown),
-        ))
-
-    items = F.transform(F.filter(block["variables"], is_telling_variable), item)
-    return F.filter(items, lambda it: F.size(it["whole_keys"]) > 0)
+            telling_words(name), F.filter(parts, lambda part: F.length(part) > 3), F.size(parts),
+        )),
+    )
 
 
 def language_items(files: DataFrame, kinds: tuple[int, ...], policy: AuditPolicy) -> DataFrame:
@@ -229,7 +232,7 @@ def language_items(files: DataFrame, kinds: tuple[int, ...], policy: AuditPolicy
     if VARIABLE in kinds:
         scoped = with_masked(scoped, F.lit(True)).withColumn("blocks", code.local_variables(F.col("masked")))
         arrays.append(F.flatten(F.transform("blocks", lambda block: _variable_items(block, policy))))
-    items = scoped.select(*FILE_KEY, "entries", F.inline(F.concat(*arrays)))
+    items = scoped.select(*FILE_KEY, "entries", F.inline(_with_keys(F.concat(*arrays), policy)))
     return items.filter(F.col("kind").isin(*kinds)).select("*", F.inline("entries")).drop("entries")
 
 
@@ -249,21 +252,20 @@ def language_findings(files: DataFrame, dictionary: DataFrame, policy: AuditPoli
         F.transform("whole_keys", lambda key: F.struct(F.lit(True).alias("whole"), key.alias("key"))),
         F.transform("part_keys", lambda key: F.struct(F.lit(False).alias("whole"), key.alias("key"))),
     )
-    n_parts = F.size("part_keys") + F.col("n_known")
     exploded = items.select(
-        *ITEM_KEY, F.col("detail").alias("text"), F.col("n_known").alias("known"), n_parts.alias("parts"),
+        *ITEM_KEY, F.col("detail").alias("text"), "n_parts", (F.col("n_parts") - F.size("part_keys")).alias("n_known"),
         F.posexplode_outer(tokens).alias("token_pos", "token"),
     )
     first = F.coalesce(F.col("token_pos") == 0, F.lit(True))
     rows = exploded.select(
-        *ITEM_KEY, F.when(first, F.col("text")).alias("text"), "known", "parts",
+        *ITEM_KEY, F.when(first, F.col("text")).alias("text"), "n_known", "n_parts",
         F.col("token.whole").alias("whole"), F.col("token.key").alias("key"),
     )
     looked_up = look_up(rows, dictionary, policy, FILE_KEY + ("fn_pos", "item_pos"))
     folded = looked_up.groupBy(*ITEM_KEY).agg(
         F.max("text").alias("detail"),
-        F.max("parts").alias("n_parts"),
-        (F.max("known") + F.count_if(~F.col("whole") & F.col("hit"))).alias("n_english"),
+        F.max("n_parts").alias("n_parts"),
+        (F.max("n_known") + F.count_if(~F.col("whole") & F.col("hit"))).alias("n_english"),
         F.coalesce(F.bool_or(F.col("whole") & ~F.col("hit")), F.lit(False)).alias("fails"),
     )
     few_words = F.col("n_english") < F.col("n_parts") * policy.min_line_ratio

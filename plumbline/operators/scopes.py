@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import any_of, basename, matches_any
+from plumbline.functions.text import basename
 from plumbline.policy import FLAG_FRAGMENTS, UDF_FILE_PATTERNS, VERB_FILE_PATTERNS
 from plumbline.sources.files import FILE_KEY, REPO_KEY, fixed_position, missing_paths
 
@@ -21,25 +21,25 @@ VARIABLE_FIXED = (
 PANDAS_FIXED = (("utils/utils.py", True),)
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def flag_matches() -> Column:
     """Number of flag fragments in the path."""
-    path = F.col("path")
-    total = F.lit(0)
-    for fragment in FLAG_FRAGMENTS:
-        total = total + path.contains(fragment).cast("int")
-    return total
+    return F.expr(" + ".join(f"cast(contains(path, {_sql(f)}) AS int)" for f in FLAG_FRAGMENTS))
 
 
 def in_flag_scope() -> Column:
-    return any_of(F.col("path").contains(fragment) for fragment in FLAG_FRAGMENTS)
+    return F.expr(" OR ".join(f"contains(path, {_sql(f)})" for f in FLAG_FRAGMENTS))
 
 
 def in_verb_scope() -> Column:
-    return matches_any(basename(F.col("path")), VERB_FILE_PATTERNS)
+    return basename(F.col("path")).rlike("|".join(VERB_FILE_PATTERNS))
 
 
 def in_udf_scope() -> Column:
-    return matches_any(basename(F.col("path")), UDF_FILE_PATTERNS)
+    return basename(F.col("path")).rlike("|".join(UDF_FILE_PATTERNS))
 
 
 def is_fields_file() -> Column:

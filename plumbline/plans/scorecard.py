@@ -62,7 +62,7 @@ def file_facts(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFr
         "fields_ord": F.when(scopes.is_fields_file(), F.col("file_ord")),
         "uses_pandas": F.when(in_pandas, flags.imports_pandas()),
         "pandas_ord": F.when(in_pandas, F.array_max(pandas_entries)),
-        "n_verbs": F.when(in_variables, F.nullif(n_verbs, F.lit(0))),
+        "n_verbs": F.when(in_variables, n_verbs),
         "verbs_ord": F.when(in_variables, F.array_max(variable_entries)),
         "has_utils": F.when(F.col("path") == F.concat("repo", F.lit("/utils/utils.py")), F.lit(True)),
         "same_name": F.when(in_variables | in_pandas, basename(F.col("path"))),
@@ -87,7 +87,7 @@ def repo_facts(facts: DataFrame) -> DataFrame:
     by_name = facts.groupBy(*REPO_KEY, "same_name").agg(
         *merged,
         F.max_by("uses_pandas", "pandas_ord").alias("uses_pandas"),
-        F.max_by("n_verbs", F.when(F.col("n_verbs").isNotNull(), F.col("verbs_ord"))).alias("n_verbs"),
+        F.max_by("n_verbs", F.when(F.col("n_verbs") > 0, F.col("verbs_ord"))).alias("n_verbs"),
     )
     return by_name.groupBy(*REPO_KEY).agg(
         *merged,

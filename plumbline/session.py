@@ -16,6 +16,8 @@ def build_session(master: str | None = None, app_name: str = "plumbline", **conf
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Call-site capture costs more than planning for rules this wide.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     for key, value in settings.items():

@@ -18,6 +18,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Spread a table of fewer splits than cores, whose text rules would run on few of them.
+
+    A table with enough splits is left as it is, so nothing large is shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents(doc_id, text, lang) for the language rules."""
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+
+
 def _every(divisor: int, remainder: int = 0) -> Column:
     return F.col("doc_id") % divisor == remainder
 
@@ -126,7 +140,7 @@ def _constants() -> Column:
     )
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(docs: DataFrame) -> DataFrame:
     """Documents with their place in a repository.
 
     The place comes from a one-row generator, so rules filter on the path as on
@@ -157,7 +171,6 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(slot == 24, below("/old/transformations/transformations_17.py"))
         .otherwise(F.concat(repo, F.lit("/transformations/transformations_"), slot.cast("string"), F.lit(".py")))
     )
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = (
         docs.withColumn("file_ord", F.col("doc_id") % FILES_PER_REPO)
         .withColumn("k", F.expr(f"doc_id div {FILES_PER_REPO}"))
@@ -170,7 +183,8 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repo_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file table without bodies, for rules on paths alone."""
-    return _placed(spark, sf_dir).select("repo", "branch", "file_ord", "path")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _placed(docs).select("repo", "branch", "file_ord", "path")
 
 
 def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,11 +209,12 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(_code())
     )
     word = lambda group, default: F.lower(F.coalesce(F.nullif(group, F.lit("")), F.lit(default)))
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     words = (
-        _placed(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+        _placed(docs).withColumn("text", F.coalesce("text", F.lit("")))
         .withColumn("w1", word(F.regexp_extract("text", "([A-Za-z][a-z]+)", 1), "word"))
         .withColumn("w2", word(F.regexp_extract("text", "[A-Za-z][a-z]+[^A-Za-z]+([A-Za-z][a-z]+)", 1), "term"))
-        .withColumn("w3", word(F.regexp_extract("text", r"(\p{L}*[^\x00-\x7F]\p{L}*)", 1), "value"))
+        .withColumn("w3", word(F.regexp_extract("text", r"(?:^|[^A-Za-z])([A-Za-z]*+[^\x00-\x7F]\p{L}*)", 1), "value"))
         .withColumn("sent", F.regexp_extract("text", "([A-Z][a-z]+[^.\n]*)", 1))
     )
     return words.select("repo", "branch", "file_ord", "path", F.explode(F.array(content)).alias("content"))

@@ -58,17 +58,19 @@ def manifest(files: DataFrame) -> DataFrame:
     )
 
 
-def fixed_path(path: str, below_repo: bool, repo: Column | None = None) -> Column:
-    repo = F.col("repo") if repo is None else repo
-    return F.concat(repo, F.lit("/" + path)) if below_repo else F.lit(path)
+def fixed_path(path: str, below_repo: bool) -> Column:
+    return F.expr(_fixed_sql(path, below_repo))
+
+
+def _fixed_sql(path: str, below_repo: bool) -> str:
+    quoted = path.replace("\\", "\\\\").replace("'", "\\'")
+    return f"concat(repo, '/{quoted}')" if below_repo else f"'{quoted}'"
 
 
 def fixed_position(paths: tuple[tuple[str, bool], ...]) -> Column:
     """Position of the row's path in a list of expected paths; null outside it."""
-    result = F.lit(None).cast("int")
-    for i, (path, below) in reversed(list(enumerate(paths))):
-        result = F.when(F.col("path") == fixed_path(path, below), i).otherwise(result)
-    return result
+    cases = " ".join(f"WHEN {_fixed_sql(p, below)} THEN {i}" for i, (p, below) in enumerate(paths))
+    return F.expr(f"CASE path {cases} END")
 
 
 def missing_paths(files: DataFrame, paths: tuple[tuple[str, bool], ...]) -> DataFrame:
@@ -82,10 +84,9 @@ def missing_paths(files: DataFrame, paths: tuple[tuple[str, bool], ...]) -> Data
     position = fixed_position(paths)
     bit = F.coalesce(F.pow(F.lit(2), position).cast("bigint"), F.lit(0).cast("bigint"))
     found = files.groupBy(*REPO_KEY).agg(F.bit_or(bit).alias("found"))
-    entries = F.array(*(
-        F.struct(F.lit(i).alias("scope_pos"), fixed_path(p, below).alias("path"))
-        for i, (p, below) in enumerate(paths)
-    ))
+    entries = F.expr("array({})".format(", ".join(
+        f"struct({i} AS scope_pos, {_fixed_sql(p, below)} AS path)" for i, (p, below) in enumerate(paths)
+    )))
     return (
         found.select(*REPO_KEY, "found", F.inline(entries))
         .filter(F.expr("(found & shiftleft(1L, scope_pos)) = 0"))
