@@ -75,10 +75,8 @@ def partition_read(files: DataFrame, salts: int = SALTS) -> DataFrame:
     huge repository spread over ``salts`` tasks while its single configuration
     row is repeated once per salt.
     """
-    conf = files.filter(is_conf()).select(
-        *REPO_KEY, conf_reads_object().alias("conf_flag"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
+    conf = files.filter(is_conf()).groupBy(*REPO_KEY).agg(F.bool_or(conf_reads_object()).alias("conf_flag"))
+    conf = conf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     code = files.filter(scopes.in_flag_scope()).select(
         *FILE_KEY, code_reads_object().alias("code_flag"),
         F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int").alias("salt"),
