@@ -320,26 +320,29 @@ def finding_text() -> Column:
     return label
 
 
-def language_blocks(findings: DataFrame) -> DataFrame:
-    """Numbered block per file with findings, outermost functions first; a group is one file."""
+def language_report(files: DataFrame, dictionary: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
+    """Numbered block per file with findings, and one 'OK' row per repository without any.
+
+    Inside a block outermost functions come first.  Every finding also counts
+    for its repository in the same aggregation, so findings are computed once;
+    only one file's findings are ever gathered.
+    """
     entry = F.struct("indent", "fn_pos", "kind", "item_pos", finding_text().alias("text"))
-    return (
-        findings.groupBy(*FILE_KEY, "scope_part", "scope_pos")
-        .agg(F.array_sort(F.collect_list(entry)).alias("found"))
-        .select(
-            *REPO_KEY, "scope_part", "scope_pos", "path", F.size("found").alias("n_findings"),
-            F.concat(
-                basename(F.col("path")), F.lit("\n"), numbered(F.transform("found", lambda f: f["text"]))
-            ).alias("block"),
-        )
+    place = ("path", "scope_part", "scope_pos")
+    both = F.array(
+        F.struct(*place, entry.alias("entry"), F.lit(0).alias("n")),
+        F.struct(*(F.lit(None).alias(c) for c in place), F.lit(None).alias("entry"), F.lit(1).alias("n")),
+    )
+    found = language_findings(files, dictionary, policy).select(*REPO_KEY, F.inline(both))
+    repos = files.select(*REPO_KEY).distinct().select(
+        *REPO_KEY, *(F.lit(None).alias(c) for c in (*place, "entry")), F.lit(0).alias("n")
+    )
+    folded = found.unionByName(repos).groupBy(*REPO_KEY, *place).agg(
+        F.array_sort(F.collect_list("entry")).alias("found"), F.sum("n").alias("n")
+    )
+    block = F.concat(basename(F.col("path")), F.lit("\n"), numbered(F.transform("found", lambda f: f["text"])))
+    return folded.filter(F.col("path").isNotNull() | (F.col("n") == 0)).select(
+        *REPO_KEY, F.coalesce("scope_part", F.lit(0)).alias("scope_part"),
+        F.coalesce("scope_pos", F.lit(0)).alias("scope_pos"), F.coalesce("path", F.lit("")).alias("path"),
+        F.size("found").alias("n_findings"), F.coalesce(block, F.lit("OK")).alias("block"),
     )
-
-
-def language_report(files: DataFrame, dictionary: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
-    """File blocks in scope order, and one 'OK' row per repository without any."""
-    blocks = language_blocks(language_findings(files, dictionary, policy))
-    clean = files.select(*REPO_KEY).distinct().join(blocks.select(*REPO_KEY).distinct(), list(REPO_KEY), "left_anti")
-    return blocks.unionByName(clean.select(
-        *REPO_KEY, F.lit(0).alias("scope_part"), F.lit(0).cast("bigint").alias("scope_pos"), F.lit("").alias("path"),
-        F.lit(0).alias("n_findings"), F.lit("OK").alias("block"),
-    ))

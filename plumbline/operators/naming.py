@@ -91,15 +91,22 @@ def blocks_or_ok(blocks: DataFrame) -> DataFrame:
 
     Blocks stay one row per file, ordered by (sort_name, file_ord); they are
     never gathered per repository.  ``blocks`` has a null block for clean files.
+    Each file also feeds a counter of its repository, in the same aggregation,
+    so bodies are scanned once and a huge repository is pre-counted per task.
     """
-    clean = (
-        blocks.groupBy(*REPO_KEY).agg(F.count("block").alias("n"))
-        .filter(F.col("n") == 0)
-        .select(*REPO_KEY, F.lit("").alias("sort_name"), F.lit(0).cast("bigint").alias("file_ord"), F.lit("OK").alias("block"))
+    found = F.col("block").isNotNull()
+    entries = F.array_compact(F.array(
+        F.when(found, F.struct("sort_name", "file_ord", "block", F.lit(0).alias("n"))),
+        F.struct(F.lit(None).cast("string").alias("sort_name"), F.lit(None).cast("bigint").alias("file_ord"),
+                 F.lit(None).cast("string").alias("block"), found.cast("int").alias("n")),
+    ))
+    rows = blocks.select(*REPO_KEY, F.inline(entries)).groupBy(*REPO_KEY, "sort_name", "file_ord").agg(
+        F.max("block").alias("block"), F.sum("n").alias("n")
+    )
+    return rows.filter(F.col("file_ord").isNotNull() | (F.col("n") == 0)).select(
+        *REPO_KEY, F.coalesce("sort_name", F.lit("")).alias("sort_name"),
+        F.coalesce("file_ord", F.lit(0)).alias("file_ord"), F.coalesce("block", F.lit("OK")).alias("block"),
     )
-    # Exploding, unlike filtering, does not compute the block text twice.
-    dirty = blocks.select(*REPO_KEY, "sort_name", "file_ord", F.explode(F.array_compact(F.array("block"))).alias("block"))
-    return dirty.unionByName(clean)
 
 
 def fn_verb_report(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:

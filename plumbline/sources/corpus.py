@@ -217,7 +217,7 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("w3", word(F.regexp_extract("text", r"(?:^|[^A-Za-z])([A-Za-z]*+[^\x00-\x7F]\p{L}*)", 1), "value"))
         .withColumn("sent", F.regexp_extract("text", "([A-Z][a-z]+[^.\n]*)", 1))
     )
-    return words.select("repo", "branch", "file_ord", "path", F.explode(F.array(content)).alias("content"))
+    return words.select("repo", "branch", "file_ord", "path", content.alias("content"))
 
 
 def audit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
