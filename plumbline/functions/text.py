@@ -43,10 +43,6 @@ def contains_any(text: Column, parts: Iterable[str]) -> Column:
     return any_of(text.contains(part) for part in parts)
 
 
-def matches_any(text: Column, patterns: Iterable[str]) -> Column:
-    return any_of(text.rlike(pattern) for pattern in patterns)
-
-
 def ends_with_any(text: Column, suffixes: Iterable[str]) -> Column:
     return any_of(text.endswith(suffix) for suffix in suffixes)
 

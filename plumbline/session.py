@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
 
 def build_session(master: str | None = None, app_name: str = "plumbline", **conf: str) -> SparkSession:
-    """Create or reuse a session; cluster settings win over these defaults."""
+    """Create or reuse a session; keyword settings replace the defaults below."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
