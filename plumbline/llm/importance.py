@@ -70,13 +70,15 @@ def bin_counts(docs: DataFrame, trusted: DataFrame, bins: int = BINS) -> DataFra
     return marked.groupBy("bin").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("_good").isNotNull(), F.col("n")).otherwise(0)).alias("target"))
 
 
-def bin_weights(docs: DataFrame, trusted: DataFrame, bins: int = BINS, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row with `weights`, an array of `bins` log-likelihood ratios."""
+def bin_weights(docs: DataFrame, trusted: DataFrame, bins: int = BINS, smoothing: float = SMOOTHING) -> Column:
+    """A constant array of `bins` log-likelihood ratios; the driver sees these `bins` numbers only."""
     counts = written(bin_counts(docs, trusted, bins), "bin-counts")
-    filled = counts.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").fillna(0, ["raw", "target"])
-    rows = filled.agg(F.array_sort(F.collect_list(F.struct("bin", "raw", "target"))).alias("rows"), F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
+    totals = counts.select("*", F.lit(1).alias("one")).groupBy("one").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     share = lambda n, total: F.log((n + smoothing) / (total + smoothing * bins))
-    return rows.select(F.transform("rows", lambda r: F.when(F.col("all_target") > 0, share(r["target"], F.col("all_target")) - share(r["raw"], F.col("all_raw"))).otherwise(0.0)).alias("weights"))
+    weight = F.when(F.col("all_target") > 0, share(F.col("target"), F.col("all_target")) - share(F.col("raw"), F.col("all_raw"))).otherwise(0.0)
+    found = {r["bin"]: r["weight"] for r in counts.withColumn("one", F.lit(1)).join(totals, "one").select("bin", weight.alias("weight")).collect()}
+    # a bin of the corpus always has a count; the rest is never looked up
+    return F.split(F.lit(",".join(repr(found.get(k, 0.0)) for k in range(bins))), ",").cast("array<double>")
 
 
 def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
@@ -106,7 +108,7 @@ def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, bins: int = BINS, threshold: float = THRESHOLD) -> DataFrame:
     """Base measures, `score` (mean log-likelihood ratio of an n-gram) and `kept` for every row of `docs(doc_id, text)`."""
-    weights = bin_weights(docs, trusted, bins).scalar()
+    weights = bin_weights(docs, trusted, bins)
     measured = base_measures(docs, "doc_id").withColumn("grams", _grams(bins))
     summed = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(weights, g))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
