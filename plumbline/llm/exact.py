@@ -43,7 +43,8 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
         "bucket", F.expr(f"shiftright(cell + (1L << {max_depth}), {max_depth} - depth)"))
     filled = levels.groupBy("bucket").agg(F.sum("n").alias("filled"))
     fits = (F.col("filled") <= capacity) | (F.col("depth") == max_depth)
-    return (levels.join(filled, "bucket").filter(fits)
+    # at most 2 ** (max_depth + 1) rows
+    return (levels.join(F.broadcast(filled), "bucket").filter(fits)
             .groupBy("cell").agg(F.min(F.struct("depth", "bucket", "filled")).alias("leaf"))
             .select("cell", F.col("leaf.bucket").alias("bucket"),
                     F.ceil(F.col("leaf.filled") / capacity).cast("long").alias("pages")))
