@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, importance, jaccard, licenses, mixing, pieces
+from . import ctw, exact, importance, jaccard, licenses, mixing, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_jaccard_join, op4_licenses, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing)
+    found = (op1_context_tree, op2_jaccard_join, op4_licenses, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing)
     return {f.__name__: f for f in found}
 
 

@@ -98,6 +98,30 @@ def hash_windows(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def windows(chunk: Chunk, depth: int) -> np.ndarray:
+    """For each byte of the chunk, it and the `depth` bytes before it; the byte itself is highest."""
+    head, end = chunk.at[0], chunk.at[-1]
+    keys = chunk.lanes()[head - depth : end - depth] & LOW[depth + 1]
+    for j in range(depth):  # bytes of the text before do not count
+        at = chunk.at[:-1][chunk.at[1:] - chunk.at[:-1] > j] - head + j
+        keys[at] &= ~LOW[depth - j]
+    return keys
+
+
+def runs(chunk: Chunk, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `words`, for maximal runs of bytes of one kind; kind 0 separates."""
+    kind = kinds[chunk.data]
+    kind[:PAD] = kind[len(kind) - PAD :] = 0
+    cut = np.empty(len(kind), dtype=bool)
+    cut[0], cut[1:] = True, kind[1:] != kind[:-1]
+    cut[chunk.at] = True
+    at = np.flatnonzero(cut)
+    length = np.diff(np.r_[at, len(kind)])
+    full = kind[at] > 0
+    start = at[full]
+    return start, length[full], np.searchsorted(start, chunk.at)
+
+
 def sums_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values[first[i]:first[i+1]] for each i; zero for empty ranges. Each range is summed on its own."""
     out = np.zeros(len(first) - 1, dtype=values.dtype)
