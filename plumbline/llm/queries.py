@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact, importance, jaccard, licenses, mixing, pieces
+from . import ctw, exact, ftrl, importance, jaccard, licenses, mixing, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return ftrl.quality_scores(_table(spark, sf_dir, "documents"), labels)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +59,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_context_tree, op2_jaccard_join, op4_licenses, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing)
+    found = (op1_context_tree, op2_jaccard_join, op4_licenses, op5_quality_classifier, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing)
     return {f.__name__: f for f in found}
 
 
