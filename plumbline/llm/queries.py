@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact, ftrl, importance, jaccard, licenses, mixing, pieces
+from . import ctw, exact, ftrl, importance, jaccard, langid, licenses, mixing, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,8 +58,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_context_tree, op2_jaccard_join, op4_licenses, op5_quality_classifier, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing)
+    found = (op1_context_tree, op2_jaccard_join, op4_licenses, op5_quality_classifier, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing, op10_language_id)
     return {f.__name__: f for f in found}
 
 
