@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact, ftrl, importance, jaccard, langid, licenses, mixing, pieces
+from . import ctw, exact, ftrl, importance, jaccard, langid, licenses, mincut, mixing, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -63,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_context_tree, op2_jaccard_join, op4_licenses, op5_quality_classifier, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing, op10_language_id)
+    found = (op1_context_tree, op2_jaccard_join, op3_html_extraction, op4_licenses, op5_quality_classifier, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing, op10_language_id)
     return {f.__name__: f for f in found}
 
 
