@@ -50,9 +50,12 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
                     F.ceil(F.col("leaf.filled") / capacity).cast("long").alias("pages")))
 
 
-def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """`(doc_id, keep_id, group_size, kept, text_sha256)` for every row of `docs(doc_id, text)`."""
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("body")).withColumn("h", F.xxhash64("body"))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", normalised(F.col("text")).alias("body")).withColumn("h", F.xxhash64("body"))
+
+
+def _groups(docs: DataFrame, capacity: int, max_depth: int) -> DataFrame:
+    texts = _texts(docs)
     keys = written(texts.select("doc_id", "h", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256")), "exact-keys")
     owners = directory(keys, capacity, max_depth)
     pages = (texts.withColumn("cell", _cell(max_depth)).join(F.broadcast(owners), "cell")
@@ -63,13 +66,24 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
               .select("h", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"), "first", "n"))
     groups = chains.groupBy("h", "text_sha256").agg(F.min("first").alias("keep_id"), F.sum("n").alias("group_size"))
     return keys.join(groups, ["h", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "h")
 
 
-def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose doc_id stays, all columns."""
-    stays = exact_groups(docs, **options).filter("kept").select("doc_id").distinct()
-    return docs.join(stays.withColumnRenamed("doc_id", "_stays"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """`(doc_id, keep_id, group_size, kept, text_sha256)` for every row of `docs(doc_id, text)`."""
+    return _groups(docs, capacity, max_depth).drop("h")
+
+
+def distinct_documents(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The rows of `docs` that stay, all columns; of rows with equal doc_id and text one stays."""
+    stays = written(_groups(docs, capacity, max_depth).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_n")), "exact-stays")
+    rows = docs.withColumn("_hash", F.xxhash64(normalised(F.col("text"))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    once = rows.join(stays.filter("_n = 1"), same, "left_semi")
+    repeated = stays.filter("_n > 1")
+    if repeated.isEmpty():
+        return once.drop("_hash")
+    return once.union(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_hash"])).drop("_hash")
 
 
 EXACT_SQL = r"""

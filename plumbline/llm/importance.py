@@ -106,19 +106,24 @@ def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
         long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"), total.alias("n_repeat_words"))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, bins: int = BINS, threshold: float = THRESHOLD) -> DataFrame:
-    """Base measures, `score` (mean log-likelihood ratio of an n-gram) and `kept` for every row of `docs(doc_id, text)`."""
+def quality_rules(docs: DataFrame, trusted: DataFrame, bins: int = BINS, threshold: float = THRESHOLD, *keep: str) -> DataFrame:
+    """Base measures, `kept` and `score` (mean log-likelihood ratio of an n-gram) for every row of `docs(doc_id, text)`.
+
+    keep: further columns to pass on, of names other than those made here.
+    """
     weights = bin_weights(docs, trusted, bins)
-    measured = base_measures(docs, "doc_id").withColumn("grams", _grams(bins))
+    measured = base_measures(docs, "doc_id", *keep).withColumn("grams", _grams(bins))
     summed = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(weights, g))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     score = F.when(F.size("grams") > 0, summed / F.size("grams")).otherwise(0.0)
     return (measured.withColumn("score", score).withColumn("base_failed", failed)
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score"))
+                    (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score", *keep))
 
 
-def passing_documents(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that the rules keep, all columns; copies of a doc_id stay if one of them does."""
-    good = quality_rules(docs, trusted, **options).filter("kept").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_good")), "left_semi")
+def passing_documents(docs: DataFrame, trusted: DataFrame, bins: int = BINS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that the rules keep, all columns; no row is moved."""
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    judged = quality_rules(whole, trusted, bins, threshold, "_row")
+    # the partition number keeps the optimizer from moving the filter, and with it a second copy of every measure, below
+    return judged.withColumn("_part", F.spark_partition_id()).filter("kept AND _part >= 0").select("_row.*")

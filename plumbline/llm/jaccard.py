@@ -197,24 +197,29 @@ def _candidate_edges(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     return rare.unionByName(stars).distinct()
 
 
-def _sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """`docs(doc_id, text, cid, ...)` with its set, where the text is the one that `cid` stands for."""
-    kept = [f for f in docs.columns if f != "text"]
-    types = dict(docs.dtypes)
+def _bitmap(members: DataFrame) -> np.ndarray:
+    """A bit for the hash of every `rep`: 2 ** 26 bits whatever the number of members."""
+    h = F.xxhash64("rep")
+    bits = members.groupBy(F.shiftrightunsigned(h, 44).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << 20, U64)
+    out[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(U64)
+    return out
+
+
+def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """`(doc_id, cid, items)` of the documents that may be a `rep`; the bitmap spares the others the trip."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(members))
 
     def run(batches):
         for batch in batches:
-            at = 0
-            for chunk in chunks(texts_of(batch), lower=True):
-                part = batch.slice(at, chunk.n)
+            key = batch.column(2).to_numpy().view(U64)
+            part = batch.filter(pa.array((shared.value[(key >> U64(44)).astype(np.int64)] >> (key & U64(63))) & U64(1) == 1))
+            for chunk in chunks(texts_of(part), lower=True):
                 sets = list(shingle_sets(chunk, size))
-                same = np.array([_class_id(u) for u in sets], np.int64) == part.column(part.schema.get_field_index("cid")).to_numpy()
-                columns = [part.column(part.schema.get_field_index(k)) for k in kept]
-                found = pa.record_batch([*columns, _lists([u.view(np.int64) for u in sets])], names=[*kept, "items"])
-                yield found.filter(pa.array(same))
-                at += chunk.n
+                yield pa.record_batch([part.column(0).slice(chunk.first, chunk.n), pa.array([_class_id(u) for u in sets], pa.int64()), _lists([u.view(np.int64) for u in sets])],
+                                      names=["doc_id", "cid", "items"])
 
-    return docs.mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in kept), "items array<long>"]))
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "doc_id long, cid long, items array<long>")
 
 
 def multiply(ids: np.ndarray, n: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np.ndarray], same: bool, num: int, den: int):
@@ -279,6 +284,9 @@ def _products(blocks: DataFrame, num: int, den: int) -> DataFrame:
             a, b, links = [], [], []
             for head, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 part = table.slice(head, end - head)
+                # a document that is repeated comes more than once
+                _, own = np.unique(np.stack([part["side"].to_numpy(), part["cid"].to_numpy()]), axis=1, return_index=True)
+                part = part.take(pa.array(own))
                 ids, n, copies, side = (part[k].to_numpy() for k in ("cid", "n", "copies", "side"))
                 items = part["items"].combine_chunks()
                 sets = np.split(items.flatten().to_numpy(), np.cumsum(items.value_lengths().to_numpy())[:-1])
@@ -337,7 +345,14 @@ def _block_pairs(docs: DataFrame, members: DataFrame, size: int, num: int, den:
                                      & (F.col("high1") * den >= F.col("low2") * num))
     tasks = (pairs.select("root", F.col("blk1").alias("blk"), F.col("blk1").alias("left"), F.col("blk2").alias("right"), F.lit(0).alias("side"))
              .union(pairs.filter("blk1 < blk2").select("root", F.col("blk2"), F.col("blk1"), F.col("blk2"), F.lit(1))))
-    needed = placed.select(F.col("rep").alias("doc_id"), "cid", "root", "copies", "n", "blk")
-    sets = written(_sets_of(docs.join(needed, "doc_id").select("doc_id", "text", "cid", "root", "copies", "n", "blk"), size).dropDuplicates(["cid"]), "sets")
-    return (sets.join(tasks, ["root", "blk"]).select("root", "left", "right", "side", "cid", "n", "copies", "items")
+    needed = placed.join(tasks, ["root", "blk"]).select("rep", "cid", "root", "left", "right", "side", "n", "copies")
+    sets = _sets_of(docs, members, size)
+    return (sets.join(needed, (sets["doc_id"] == needed["rep"]) & (sets["cid"] == needed["cid"]))
+            .select("root", "left", "right", "side", needed["cid"], "n", "copies", "items")
             .repartition("root", "left", "right").sortWithinPartitions("root", "left", "right", "side"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` whose doc_id is the least of its component, all columns."""
+    stays = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
