@@ -103,7 +103,7 @@ def rules() -> tuple[Rule, ...]:
     found: list[Rule] = []
 
     def add(label: str, form: str, priority: int, confidence: float, keywords: tuple[str, ...], pattern: str) -> None:
-        found.append(Rule(f"{label}:{form}:{len(found)}", label, priority, confidence, tuple(k.encode() for k in keywords), _compiled(pattern)))
+        found.append(Rule(f"{label}:{form}:{len(found)}", label, priority, confidence, tuple(w.encode() for k in keywords for w in k.split()), _compiled(pattern)))
 
     for label, name, keyword, identifiers, versions, address in FAMILIES:
         number = lambda v: re.escape(v) + ("" if "." in v else r"(?:\.0)?")
