@@ -32,7 +32,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session(f"local[{cpus}]", "plumbline-bench", **{
         "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8", "spark.driver.memory": "12g",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "plumbline.spread": cpus if cpus.isdigit() else "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     registry = queries()

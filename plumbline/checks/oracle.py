@@ -132,7 +132,7 @@ CTE["placed"] = """
 SELECT doc_id, text, file_ord, k, repo, 'develop' AS branch,
   CASE WHEN file_ord < 17 AND doc_id % 11 = 3 THEN 'attic/part_' || file_ord || '.txt'
     WHEN file_ord = 0 THEN 'resources/application.conf' WHEN file_ord = 1 THEN 'requirements.txt'
-    WHEN file_ord = 2 THEN 'sonar-project.properties' WHEN file_ord = 3 THEN 'Kaafile'
+    WHEN file_ord = 2 THEN 'sonar-project.properties' WHEN file_ord = 3 THEN 'Buildfile'
     WHEN file_ord = 4 THEN 'setup.cfg' WHEN file_ord = 5 THEN 'setup.py'
     WHEN file_ord = 6 THEN repo || '/__init__.py' WHEN file_ord = 7 THEN repo || '/app.py'
     WHEN file_ord = 8 THEN repo || '/utils/utils.py' WHEN file_ord = 9 THEN repo || '/fields.py'
@@ -160,12 +160,13 @@ FROM placed"""
 CTE["rf"] = r"""
 SELECT repo, branch, file_ord, path, CASE
   WHEN file_ord = 0 THEN concat_ws(chr(10),
-    CASE WHEN doc_id % 9 = 1 THEN '{' END, 'kaa {', '  SALES_INPUT = "/in"',
+    CASE WHEN doc_id % 9 = 1 THEN '{' END, 'app {', '  SALES_INPUT = "/in"',
     CASE WHEN doc_id % 3 <> 0 THEN '  SALES_OUTPUT = "/out"' END,
     '  NOTE = "' || replace(replace(text, chr(10), ' '), '"', '') || '"', '  SCHEMA = "dev-bucket/nested"',
     CASE WHEN doc_id % 7 <> 0 THEN '}' END, CASE WHEN doc_id % 8 = 1 THEN 'MODE=batch' END,
     CASE WHEN doc_id % 4 = 0 THEN 'SCHEMA_PATH = "dev-bucket/x"' ELSE 'SCHEMA_PATH = "prod-bucket/x"' END,
-    CASE WHEN doc_id % 12 = 0 THEN 'SCHEMA_PATH = "prod-bucket/y"' END, CASE WHEN doc_id % 9 = 1 THEN '}' END)
+    CASE WHEN doc_id % 12 = 0 THEN 'SCHEMA_PATH = "prod-bucket/y"' END,
+    CASE WHEN doc_id % 5 = 1 THEN 'SCHEMA_NOTE = "prod/#x"  # not dev-bucket/x' END, CASE WHEN doc_id % 9 = 1 THEN '}' END)
   WHEN file_ord = 1 THEN 'pandas==1.5.3' || chr(10) || 'engine_sdk==0.' || (doc_id % 3 + 3) || '.' || (doc_id % 13)
   WHEN file_ord = 2 THEN CASE WHEN doc_id % 2 = 0
     THEN 'a=1' || chr(10) || 'sonar.python.coverage.reportPaths=coverage.xml' ELSE 'sonar.x=1' END
@@ -318,11 +319,12 @@ CTE["conf_depth"] = rf"""
 SELECT *, coalesce(sum(delta) OVER (PARTITION BY repo, branch ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
   sum(delta) OVER (PARTITION BY repo, branch ORDER BY i) AS depth_after
 FROM (SELECT *, length(code) - length(replace(code, '{{', '')) - length(code) + length(replace(code, '}}', '')) AS delta
-  FROM (SELECT *, {sub(sub('raw', r'"(?:[^"\\]|\\.)*"', '"'), r'(?:#|//)[^' + chr(10) + r']*')} AS code FROM conf_lines))"""
+  FROM (SELECT *, {sub(sub('raw', r'"(?:[^"\\]|\\.)*"', '"'), r'(?:#|//)[^' + chr(10) + r']*')} AS code,
+    {sub('raw', r'("(?:[^"\\]|\\.)*")|(?:#|//)[^' + chr(10) + r']*', chr(92) + '1')} AS kept FROM conf_lines))"""
 CTE["conf_schema_keys"] = rf"""
 SELECT {K}, key, arg_max(contains(value, {lit(POLICY.forbidden_schema_value)}), i) AS bad
-FROM (SELECT *, {find('raw', r'^[ \t]*"?([^"=:.{}\[\],]*?)"?[ \t]*[=:]', 1)} AS key,
-    {strip(find('raw', r'^[^=:]*[=:](.*)$', 1))} AS value FROM conf_depth WHERE depth = top AND {has('code', '[=:]')})
+FROM (SELECT *, {find('kept', r'^[ \t]*"?([^"=:.{}\[\],]*?)"?[ \t]*[=:]', 1)} AS key,
+    {strip(find('kept', r'^[^=:]*[=:](.*)$', 1))} AS value FROM conf_depth WHERE depth = top AND {has('code', '[=:]')})
 WHERE contains(upper(key), 'SCHEMA') AND NOT {has('value', r'^[\[{]')} GROUP BY ALL"""
 CTE["q_check_conf_schema"] = f"""
 SELECT d.repo, d.branch, CASE WHEN final <> 0 OR lowest < 0 THEN 'UNPARSABLE' WHEN coalesce(any_bad, false) THEN 'ERROR' ELSE 'OK' END AS status

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import basename, contains_any, let, numbered, split_lines, strip
 from plumbline.operators import scopes
 from plumbline.policy import APP_COMMENT_MARKERS
-from plumbline.sources.files import FILE_KEY, REPO_KEY
+from plumbline.sources.files import FILE_KEY, REPO_KEY, repo_facts
 
 SHOWN_CHARS = 80
 
@@ -71,8 +71,8 @@ def comment_verdicts(files: DataFrame) -> DataFrame:
 def comment_file_count(files: DataFrame) -> DataFrame:
     """Scoped files with invalid comments; an absent file has none, so it needs no row."""
     listed = F.size(scopes.language_entries())
-    bad = F.when(listed > 0, F.when(F.size(comments()) > 0, listed))
-    return files.groupBy(*REPO_KEY).agg(F.coalesce(F.sum(bad), F.lit(0).cast("bigint")).alias("n_comment_files"))
+    facts = repo_facts(files, listed > 0, F.when(F.size(comments()) > 0, listed).alias("bad"))
+    return facts.groupBy(*REPO_KEY).agg(F.coalesce(F.sum("bad"), F.lit(0).cast("bigint")).alias("n_comment_files"))
 
 
 def comment_block() -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import split_lines, strip
 from plumbline.operators.flags import is_conf
 from plumbline.policy import DEFAULT_POLICY, AuditPolicy
-from plumbline.sources.files import REPO_KEY, fixed_path
+from plumbline.sources.files import REPO_KEY, fixed_path, is_one_of, repo_facts
 
 NOT_FOUND = "version not found"
 
@@ -33,7 +35,7 @@ def conf_schema_state(policy: AuditPolicy) -> Column:
     lines = F.transform(
         split_lines(body),
         lambda raw: F.struct(
-            raw.alias("raw"),
+            F.regexp_replace(raw, F.lit(r'("(?:[^"\\]|\\.)*+")|(?:#|//)[^\n]*'), F.lit("$1")).alias("raw"),
             F.regexp_replace(
                 F.regexp_replace(raw, F.lit(r'"(?:[^"\\]|\\.)*+"'), F.lit('"')), F.lit(r"(?:#|//)[^\n]*"), F.lit("")
             ).alias("code"),
@@ -81,8 +83,8 @@ def _fixed(path: str, below: bool = False) -> Column:
 
 
 def conf_size(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
-    chars = F.coalesce(F.max(F.when(is_conf(), conf_chars())), F.lit(0))
-    return files.groupBy(*REPO_KEY).agg(chars.alias("conf_chars")).withColumn("status", size_status(F.col("conf_chars"), policy))
+    facts = repo_facts(files, is_conf(), conf_chars().alias("chars"))
+    return facts.groupBy(*REPO_KEY).agg(F.coalesce(F.max("chars"), F.lit(0)).alias("conf_chars")).withColumn("status", size_status(F.col("conf_chars"), policy))
 
 
 def size_status(chars: Column, policy: AuditPolicy) -> Column:
@@ -94,13 +96,14 @@ def schema_status(state: Column) -> Column:
 
 
 def conf_schema(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
-    state = F.max(F.when(is_conf(), conf_schema_state(policy)))
-    return files.groupBy(*REPO_KEY).agg(schema_status(state).alias("status"))
+    facts = repo_facts(files, is_conf(), conf_schema_state(policy).alias("state"))
+    return facts.groupBy(*REPO_KEY).agg(schema_status(F.max("state")).alias("status"))
 
 
 def io_suffixes(files: DataFrame) -> DataFrame:
-    seen = lambda suffix: F.coalesce(F.bool_or(F.when(is_conf(), has_key_suffix(suffix))), F.lit(False))
-    return files.groupBy(*REPO_KEY).agg((seen("INPUT") & seen("OUTPUT")).alias("passed"))
+    facts = repo_facts(files, is_conf(), has_key_suffix("INPUT").alias("reads"), has_key_suffix("OUTPUT").alias("writes"))
+    seen = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return facts.groupBy(*REPO_KEY).agg((seen("reads") & seen("writes")).alias("passed"))
 
 
 def docs_present(files: DataFrame) -> DataFrame:
@@ -111,7 +114,8 @@ def docs_present(files: DataFrame) -> DataFrame:
 
 
 def sonar(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
-    return files.groupBy(*REPO_KEY).agg(sonar_passed(policy).alias("passed"))
+    facts = repo_facts(files, _fixed("sonar-project.properties"), F.col("content").contains(policy.coverage_line).alias("covered"))
+    return facts.groupBy(*REPO_KEY).agg(F.coalesce(F.bool_or("covered"), F.lit(False)).alias("passed"))
 
 
 def sonar_passed(policy: AuditPolicy) -> Column:
@@ -122,7 +126,7 @@ def sonar_passed(policy: AuditPolicy) -> Column:
 
 
 def sdk_version(policy: AuditPolicy) -> Column:
-    found = F.regexp_extract("content", rf"{policy.sdk_package}==([0-9.]+)", 1)
+    found = F.regexp_extract("content", rf"{re.escape(policy.sdk_package)}==([0-9.]+)", 1)
     return F.when(_fixed("requirements.txt"), F.nullif(found, F.lit("")))
 
 
@@ -134,7 +138,8 @@ def version_reached(version: Column, policy: AuditPolicy) -> Column:
 
 
 def min_version(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
-    return files.groupBy(*REPO_KEY).agg(F.max(sdk_version(policy)).alias("sdk_version")).withColumn(
+    facts = repo_facts(files, _fixed("requirements.txt"), sdk_version(policy).alias("found"))
+    return facts.groupBy(*REPO_KEY).agg(F.max("found").alias("sdk_version")).withColumn(
         "passed", version_reached(F.col("sdk_version"), policy)
     )
 
@@ -172,8 +177,10 @@ def versions_consistent() -> Column:
 def repo_versions(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
     """The version strings of each repository's four version files."""
     facts = version_facts(policy)
-    readable = F.coalesce(F.bool_or(facts.pop("cfg_readable")), F.lit(False)).alias("cfg_readable")
-    return files.groupBy(*REPO_KEY).agg(*(F.max(v).alias(name) for name, v in facts.items()), readable)
+    sources = (("setup.cfg", False), ("setup.py", False), ("__init__.py", True), (policy.build_file, False))
+    rows = repo_facts(files, is_one_of(sources), *(v.alias(name) for name, v in facts.items()))
+    readable = F.coalesce(F.bool_or("cfg_readable"), F.lit(False)).alias("cfg_readable")
+    return rows.groupBy(*REPO_KEY).agg(*(F.max(name).alias(name) for name in facts if name != "cfg_readable"), readable)
 
 
 def _version_rows(policy: AuditPolicy) -> Column:

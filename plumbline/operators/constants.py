@@ -132,19 +132,10 @@ def fields_summary() -> Column:
     )
 
 
-def fields_choice() -> Column:
-    """Facts of the repository's first fields file; null without one.
-
-    One narrow row per candidate reaches the aggregation, never a body.
-    """
-    return F.min_by(
-        F.when(scopes.is_fields_file(), fields_summary()), F.when(scopes.is_fields_file(), F.col("file_ord"))
-    )
-
-
 def picked_fields(files: DataFrame) -> DataFrame:
-    facts = with_constants(files, scopes.is_fields_file())
-    return facts.groupBy(*REPO_KEY).agg(fields_choice().alias("picked"))
+    facts = with_constants(files.filter(scopes.is_fields_file()), F.lit(True)).select(*REPO_KEY, "file_ord", fields_summary().alias("fields"))
+    rows = facts.unionByName(files.select(*REPO_KEY), allowMissingColumns=True)
+    return rows.groupBy(*REPO_KEY).agg(F.min_by("fields", "file_ord").alias("picked"))
 
 
 def const_naming_findings(files: DataFrame) -> DataFrame:

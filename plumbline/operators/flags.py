@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import contains_any
 from plumbline.operators import scopes
 from plumbline.policy import DEFAULT_POLICY, AuditPolicy
-from plumbline.sources.files import FILE_KEY, REPO_KEY, fixed_path
+from plumbline.sources.files import FILE_KEY, REPO_KEY, fixed_path, repo_facts
 
 SALTS = 64
 
@@ -88,9 +88,8 @@ def partition_read(files: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def app_logic(files: DataFrame) -> DataFrame:
     """Whether the entry file of each repository holds control flow."""
-    return files.groupBy(*REPO_KEY).agg(
-        F.coalesce(F.bool_or(F.when(is_app(), has_logic())), F.lit(False)).alias("has_logic")
-    )
+    facts = repo_facts(files, F.col("path").endswith("/app.py") & is_app(), has_logic().alias("found"))
+    return facts.groupBy(*REPO_KEY).agg(F.coalesce(F.bool_or("found"), F.lit(False)).alias("has_logic"))
 
 
 def pandas_rows(files: DataFrame) -> DataFrame:
@@ -120,16 +119,21 @@ def pandas_file_count(files: DataFrame) -> DataFrame:
 
 
 def flags_by_repo(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
-    """The six sticky flags per repository, from one scan and one aggregation."""
+    """The six sticky flags per repository, from one scan of the bodies in scope and one aggregation."""
     scoped = scopes.in_flag_scope()
-    any_file = lambda flag: F.bool_or(F.when(scoped, flag))
-    conf = F.coalesce(F.bool_or(F.when(is_conf(), conf_reads_object())), F.lit(False))
-    return files.groupBy(*REPO_KEY).agg(
-        any_file(reads_spark()).alias("spark_read"),
-        any_file(uses_hadoop()).alias("hadoop"),
-        (any_file(code_reads_object()) | (conf & any_file(F.lit(True)))).alias("partition_read"),
-        any_file(writes_spark(policy)).alias("spark_write"),
-        any_file(compacts()).alias("compaction"),
-        any_file(uses_base_path()).alias("base_path"),
-        F.when(any_file(F.lit(True)), "OK").otherwise("NO_SCOPE_FILES").alias("audit_status"),
+    facts = {
+        "spark_read": reads_spark(), "hadoop": uses_hadoop(), "code_object": code_reads_object(),
+        "spark_write": writes_spark(policy), "compaction": compacts(), "base_path": uses_base_path(), "in_scope": F.lit(True),
+    }
+    rows = repo_facts(
+        files, scoped | is_conf(), *(F.when(scoped, flag).alias(name) for name, flag in facts.items()),
+        F.when(is_conf(), conf_reads_object()).alias("conf_object"),
+    )
+    conf = F.coalesce(F.bool_or("conf_object"), F.lit(False))
+    some = lambda name: F.bool_or(name).alias(name)
+    return rows.groupBy(*REPO_KEY).agg(
+        some("spark_read"), some("hadoop"),
+        (F.bool_or("code_object") | (conf & F.bool_or("in_scope"))).alias("partition_read"),
+        some("spark_write"), some("compaction"), some("base_path"),
+        F.when(F.bool_or("in_scope"), "OK").otherwise("NO_SCOPE_FILES").alias("audit_status"),
     )

@@ -109,13 +109,18 @@ def blocks_or_ok(blocks: DataFrame) -> DataFrame:
     )
 
 
+def with_listing(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks of the files in scope, and an empty row for every listed file; no body is read for these."""
+    return blocks.unionByName(files.select(*REPO_KEY), allowMissingColumns=True)
+
+
 def fn_verb_report(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
-    scoped = scopes.in_verb_scope()
-    named = with_function_names(with_masked(files, scoped), scoped)
-    return blocks_or_ok(named.select(
+    scoped = files.filter(scopes.in_verb_scope())
+    named = with_function_names(with_masked(scoped, F.lit(True)), F.lit(True))
+    return blocks_or_ok(with_listing(files, named.select(
         *REPO_KEY, basename(F.col("path")).alias("sort_name"), "file_ord",
         verb_block(F.col("names"), policy).alias("block"),
-    ))
+    )))
 
 
 def verb_variables(masked: Column, policy: AuditPolicy) -> Column:
@@ -177,6 +182,6 @@ def udf_block(policy: AuditPolicy) -> Column:
 
 def udf_report(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
     """Blocks in listing order; the sort name is constant."""
-    return blocks_or_ok(files.select(
+    return blocks_or_ok(with_listing(files, files.filter(scopes.in_udf_scope()).select(
         *REPO_KEY, F.lit("").alias("sort_name"), "file_ord", udf_block(policy).alias("block")
-    ))
+    )))

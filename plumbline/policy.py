@@ -71,19 +71,31 @@ APP_COMMENT_MARKERS = (
     "fin del código", "start here", "end here",
 )
 
-# Project jargon that counts as English.  General English words
-# come from the frequency table; pass ``allowed_words`` to extend this list.
-JARGON = (
-    "datetime", "utils", "concat", "dataframe", "input", "output", "output_df", "filters",
-    "epigraphs", "logger", "config", "partition", "input_df", "df", "relativedelta",
-    "staticmethod", "joined_df", "date_str", "created_df", "dataframes", "aggregate_func",
-    "unix", "timestamp", "catalog_df", "disaggregate", "magicmock", "parquet", "cond", "str",
-    "disaggregated", "aggregate", "amortization", "regexp", "param", "numerator", "pytest",
-    "coalesce", "timedelta", "integer", "float", "boolean", "array", "dict", "tuple",
-    "tuples", "null", "debug", "logging", "epigraph", "perimeter", "hierarchies", "taxonomy",
-    "identifier", "identifiers", "concatenated", "aliased", "substring", "predefined",
-    "aliasing", "partitioned", "mock", "pyspark", "spark",
-)
+# Words that count as English whatever their frequency; pass ``allowed_words`` to
+# extend or replace them.
+ALLOWED_WORDS = tuple("""
+datetime utils concat dataframe input output output_df filters epigraphs logger config partition
+result input_df dataproc df relativedelta staticmethod joined_df date_str created_df dataframes
+persisted_dataframes aggregate_func unix timestamp catalog_df irregula filtered_nulls_df tbuc
+disaggregate magicmock coment parquet cond guarannteect comment str bussiness ci disaggregated fxin
+aggregate readed deposit emissions not nmd cts regexp replace sum amortization number param
+numerator pytest coalesce timedelta function method class object variable parameter argument return
+returns value values data file files directory path paths name names type types code string strings
+numbers integer float boolean array list lists dict dictionary set sets tuple tuples key keys index
+indexes item items element elements length size count total average minimum maximum first last next
+previous current new old original copy clone deep shallow null none true false yes no ok error
+errors exception exceptions warning warnings info information debug message messages log logs
+logging print source target destination results process processing compute calculation transform
+transformation convert conversion parse parsing validate validation check verify test testing unit
+integration system acceptance quality assurance development production staging environment
+configuration settings options parameters arguments default custom special general specific common
+unique different similar same equal equivalent identical distinct separate combined merged joined
+split divided separated connected linked related associated correlated mapped mapping relationship
+connection association correlation dependency dependent independent epigraph perimeter hierarchies
+taxonomy segment exchange rate currency catalog identifier identifiers merges concatenated aliased
+substring predefined aliasing partitioned filtered added column offices experiment session mock
+pyspark spark
+""".split())
 
 
 @dataclass(frozen=True)
@@ -98,14 +110,14 @@ class AuditPolicy:
     forbidden_schema_value: str = "dev-bucket"
     coverage_line: str = "sonar.python.coverage.reportPaths=coverage.xml"
     max_conf_chars: int = 2400
-    build_file: str = "Kaafile"
+    build_file: str = "Buildfile"
 
     verbs: tuple[str, ...] = VERBS
     ignored_functions: tuple[str, ...] = IGNORED_FUNCTIONS
     required_infixes: tuple[tuple[str, str], ...] = REQUIRED_INFIXES
     udf_imports: tuple[tuple[str, str], ...] = UDF_IMPORTS
 
-    allowed_words: tuple[str, ...] = JARGON
+    allowed_words: tuple[str, ...] = ALLOWED_WORDS
     min_zipf: float = 2.5
     min_line_ratio: float = 0.6
     min_name_ratio: float = 0.7

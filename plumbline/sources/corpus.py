@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 NL = "\n"
 FILES_PER_REPO = 25
+SPREAD = "plumbline.spread"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +20,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:
-    """Spread a table of fewer splits than cores, whose text rules would run on few of them.
+    """The table as it is; spread over so many tasks only where a session asks for it.
 
-    A table with enough splits is left as it is, so nothing large is shuffled.
+    The setting is for test tables of a single split; on a cluster it stays unset, so no text is shuffled.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+    parts = int(table.sparkSession.conf.get(SPREAD, "0"))
+    return table.repartition(parts, key) if parts else table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ def _code() -> Column:
 def _conf() -> Column:
     return _lines(
         F.when(_every(9, 1), "{"),
-        "kaa {",
+        "app {",
         '  SALES_INPUT = "/in"',
         F.when(~_every(3), '  SALES_OUTPUT = "/out"'),
         F.concat(F.lit('  NOTE = "'), F.translate("text", '\n"', " "), F.lit('"')),
@@ -113,6 +114,7 @@ def _conf() -> Column:
         F.when(_every(8, 1), "MODE=batch"),
         F.when(_every(4), 'SCHEMA_PATH = "dev-bucket/x"').otherwise('SCHEMA_PATH = "prod-bucket/x"'),
         F.when(_every(12), 'SCHEMA_PATH = "prod-bucket/y"'),
+        F.when(_every(5, 1), 'SCHEMA_NOTE = "prod/#x"  # not dev-bucket/x'),
         F.when(_every(9, 1), "}"),
     )
 
@@ -153,7 +155,7 @@ def _placed(docs: DataFrame) -> DataFrame:
         .when(slot == 0, "resources/application.conf")
         .when(slot == 1, "requirements.txt")
         .when(slot == 2, "sonar-project.properties")
-        .when(slot == 3, "Kaafile")
+        .when(slot == 3, "Buildfile")
         .when(slot == 4, "setup.cfg")
         .when(slot == 5, "setup.py")
         .when(slot == 6, below("/__init__.py"))

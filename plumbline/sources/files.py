@@ -6,6 +6,9 @@ A file table has the columns repo, branch, file_ord, path, content, keyed by
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,7 @@ from plumbline.policy import DEFAULT_POLICY, AuditPolicy
 
 REPO_KEY = ("repo", "branch")
 FILE_KEY = ("repo", "branch", "path")
+MASK_BITS = 62
 
 FILE_SCHEMA = T.StructType([
     T.StructField("repo", T.StringType()),
@@ -51,6 +55,21 @@ def read_checkouts(spark: SparkSession, root: str, branch: str = "develop") -> D
     )
 
 
+def repo_facts(files: DataFrame, wanted: Column, *facts: Column) -> DataFrame:
+    """Facts of the wanted files, and a row without facts for every listed file.
+
+    The filter on the path stands below the facts, so a scan reads the bodies of wanted files
+    only; the listing reads no body, and keeps repositories that lack the files.
+    """
+    return files.filter(wanted).select(*REPO_KEY, *facts).unionByName(files.select(*REPO_KEY), allowMissingColumns=True)
+
+
+def is_one_of(paths: tuple[tuple[str, bool], ...]) -> Column:
+    """Test on the path that a scan can take, for files whose exact place is tested afterwards."""
+    plain = F.col("path").isin(*(p for p, below in paths if not below))
+    return reduce(or_, (F.col("path").endswith(f"/{p}") for p, below in paths if below), plain)
+
+
 def manifest(files: DataFrame) -> DataFrame:
     """Listing size per repository; never touches file bodies."""
     return files.groupBy(*REPO_KEY).agg(
@@ -76,20 +95,21 @@ def fixed_position(paths: tuple[tuple[str, bool], ...]) -> Column:
 def missing_paths(files: DataFrame, paths: tuple[tuple[str, bool], ...]) -> DataFrame:
     """Expected paths each repository lacks, with their position in the list.
 
-    Folds one bit per expected path, so a repository of any size needs one
-    small buffer, and paths and bodies are never shuffled.
+    Folds one bit per expected path, 62 to a number, so a repository of any size needs
+    one small buffer, and paths and bodies are never shuffled.
     """
-    if len(paths) > 62:
-        raise ValueError("at most 62 expected paths fit the presence mask")
     position = fixed_position(paths)
-    bit = F.coalesce(F.pow(F.lit(2), position).cast("bigint"), F.lit(0).cast("bigint"))
-    found = files.groupBy(*REPO_KEY).agg(F.bit_or(bit).alias("found"))
+    masks = [
+        F.bit_or(F.when((position >= at) & (position < at + MASK_BITS), F.pow(F.lit(2), position - at).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        for at in range(0, max(len(paths), 1), MASK_BITS)
+    ]
+    found = files.groupBy(*REPO_KEY).agg(F.array(*masks).alias("found"))
     entries = F.expr("array({})".format(", ".join(
         f"struct({i} AS scope_pos, {_fixed_sql(p, below)} AS path)" for i, (p, below) in enumerate(paths)
     )))
     return (
         found.select(*REPO_KEY, "found", F.inline(entries))
-        .filter(F.expr("(found & shiftleft(1L, scope_pos)) = 0"))
+        .filter(F.expr(f"(get(found, scope_pos div {MASK_BITS}) & shiftleft(1L, scope_pos % {MASK_BITS})) = 0"))
         .select(*FILE_KEY, F.col("scope_pos").cast("bigint").alias("scope_pos"))
     )
 
@@ -105,7 +125,7 @@ def content_lookup(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> Da
     presence mask, so no body is ever shuffled.
     """
     paths = policy.expected_paths()
-    present = files.filter(fixed_position(paths).isNotNull()).select(
+    present = files.filter(is_one_of(paths)).filter(fixed_position(paths).isNotNull()).select(
         *FILE_KEY, F.coalesce("content", F.lit("")).alias("content"), F.lit(False).alias("is_missing")
     )
     absent = missing_paths(files, paths).select(

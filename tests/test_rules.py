@@ -113,14 +113,14 @@ def test_version_consistency(make_files):
     rf = make_files({
         "A": {"setup.py": 'setup(version="1.0")'}, "B": {"README.md": ""},
         "C": {"setup.cfg": "[m]\nversion = 1.0\n", "setup.py": "version='1.1'", "C/__init__.py": '__version__ = "1.0"'},
-        "D": {"setup.cfg": "[m]\nname", "Kaafile": 'version = "2"', "setup.py": 'version="3"'}})
+        "D": {"setup.cfg": "[m]\nname", "Buildfile": 'version = "2"', "setup.py": 'version="3"'}})
     assert {r.repo: r.is_consistent for r in config.version_consistency(rf).collect()} == {
         "A": True, "B": False, "C": False, "D": False}
     assert {(r.repo, r.source, r.is_found) for r in config.version_extract(rf).filter("repo in ('A', 'B')").collect()} == {
         ("A", "setup.cfg", False), ("A", "setup.py", True), ("B", "setup.cfg", False)}
     status = {(r.repo, r.source): r.status for r in config.version_vs_reference(rf).collect()}
     assert status["C", "setup.cfg"] == "REFERENCE" and status["C", "__init__.py"] == "MATCH"
-    assert status["C", "setup.py"] == "SHOULD_BE" and status["D", "Kaafile"] == "INCONSISTENT"
+    assert status["C", "setup.py"] == "SHOULD_BE" and status["D", "Buildfile"] == "INCONSISTENT"
     assert status["A", "setup.py"] == "CORRECT"
 
 
