@@ -11,7 +11,7 @@ import re
 
 from plumbline import policy as P
 from plumbline.functions.patterns import (
-    BRACKET_GROUP, CALL_GROUP, CONSTANT_HEAD, IDENT, PARAM_DOC, PLAIN,
+    BRACKET_GROUP, CALL_GROUP, CLASS_MARGIN, CONSTANT_HEAD, IDENT, PARAM_DOC, PLAIN, UPPER_NAME,
 )
 from plumbline.functions.words import SEPARATORS, WORD
 from plumbline.operators.scopes import LANGUAGE_FIXED, PANDAS_FIXED, VARIABLE_FIXED
@@ -68,7 +68,7 @@ def mask(text: str) -> str:
     return sub(text, PLAIN.lexeme, r"\1\2\3\4")
 
 
-def shrink(text: str, group: str, by: str, levels: int = 4) -> str:
+def shrink(text: str, group: str, by: str, levels: int = 10) -> str:
     for _ in range(levels):
         text = sub(text, group, by)
     return text
@@ -182,6 +182,7 @@ SELECT repo, branch, file_ord, path, CASE
     '    ' || upper(w2) || '_FIELD = {"a": [1, 2], "b": 2}', '    LIMIT_FIELDS = 10',
     '    def run(self):', '        INNER = 1', '',
     CASE WHEN doc_id % 2 = 0 THEN upper(w1) || '_FIELD = ["x", "y"]' END,
+    'DEEP_FIELD = {"a": [[[[[[1]]]]]], "b": 2}', 'AÑO_FIELD = 1', 'class Two:', '  # two', '  TWO_FIELD = 2', '',
     'COLUMN_FIELDS = F.col("x")', 'EMPTY_FIELDS = []', 'lower_name = 1', '')
   WHEN file_ord IN (14, 15) THEN text
   ELSE concat_ws(chr(10),
@@ -209,6 +210,9 @@ SELECT repo, branch, file_ord, path, CASE
     CASE WHEN doc_id % 62 = 0 THEN '    engine_mock.write(x)' END,
     CASE WHEN doc_id % 4 = 1 THEN '    for row in rows:' || chr(10) || '        add_row = row' END,
     '    return ' || w1 || '_df', '',
+    CASE WHEN doc_id % 8 = 3 THEN concat_ws(chr(10), 'def deep_' || w1 || '(a, b=f(g(h(i(j(k([1])))))), c=2) -> Dict[', '    str, int',
+        ']:', '    ' || repeat('"', 3) || 'Deep ' || w1 || '.' || repeat('"', 3), '    x_df.select(',
+        '        add_kw=f(g(h(i(j(k(1)))))),', '        b=2)', '    deep_value = 1', '') END,
     CASE WHEN doc_id % 9 = 4 THEN concat_ws(chr(10), 'class ' || w1 || 'Job:', '    def setUp(self):', '        pass',
         '', '    def bad_' || w1 || '(self, ' || w2 || ', *args, key=None):', '        ''''''Short note.''''''',
         '        self.value = 1', '        ' || w1 || '_Value = dict(', '            add_key=1,',
@@ -483,13 +487,15 @@ SELECT {FK}, file_ord, unnest(toks) AS t, generate_subscripts(toks, 1) AS i
 FROM (SELECT {FK}, file_ord, {find_all(f'content || {NL}', PLAIN.module_constant)} AS toks FROM rf WHERE {PYTHON})"""
 CTE["const_heads"] = f"""
 SELECT {FK}, t, i, 0 AS j FROM const_tokens WHERE NOT starts_with(t, 'class')
-UNION ALL SELECT {FK}, unnest(inner_toks) AS t, i, generate_subscripts(inner_toks, 1) AS j
-FROM (SELECT {FK}, i, {find_all('t', PLAIN.class_constant)} AS inner_toks FROM const_tokens WHERE starts_with(t, 'class'))"""
+UNION ALL SELECT {FK}, t, i, j FROM (
+  SELECT {FK}, margin, unnest(inner_toks) AS t, i, generate_subscripts(inner_toks, 1) AS j
+  FROM (SELECT {FK}, i, {find('t', CLASS_MARGIN, 1)} AS margin, {find_all('t', PLAIN.class_constant)} AS inner_toks FROM const_tokens WHERE starts_with(t, 'class')))
+WHERE {find('t', '^([ ' + chr(9) + ']*)', 1)} = margin"""
 CTE["const_rows"] = rf"""
 SELECT {FK}, row_number() OVER (PARTITION BY repo, branch, path ORDER BY i, j) - 1 AS pos, name, value, in_class FROM (
-  SELECT {FK}, i, j, {find('t', r'^[ \t]*([A-Z0-9_]+)', 1)} AS name, {strip(find('t', r'^[^=]*=((?s:.*))$', 1))} AS value,
+  SELECT {FK}, i, j, {find('t', rf'^[ \t]*({UPPER_NAME})', 1)} AS name, {strip(find('t', r'^[^=]*=((?s:.*))$', 1))} AS value,
     {has('t', '^[ \t]')} AS in_class FROM const_heads WHERE {has('t', CONSTANT_HEAD)})
-WHERE {has('name', '[A-Z]')} AND NOT starts_with(value, '=')"""
+WHERE {has('name', chr(92) + 'p{Lu}')} AND NOT starts_with(value, '=')"""
 CTE["const_last"] = f"""
 SELECT {FK}, name, min(pos) AS pos, arg_max(value, pos) AS value, arg_max(in_class, pos) AS in_class FROM const_rows GROUP BY ALL"""
 CTE["const_masked"] = rf"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions.patterns import (
-    BLOCK_CHAR, BRACKET_GROUP, CALL_GROUP, CONSTANT_HEAD, IDENT, PARAM_DOC, SPARK,
+    BLOCK_CHAR, BRACKET_GROUP, CALL_GROUP, CLASS_MARGIN, CONSTANT_HEAD, IDENT, PARAM_DOC, SPARK, UPPER_NAME,
 )
 from plumbline.functions.text import let, strip
 
@@ -15,11 +15,24 @@ def mask_literals(code: Column) -> Column:
     return F.regexp_replace(code, F.lit(SPARK.lexeme), F.lit("$1$2$3$4"))
 
 
-def shrink_groups(text: Column, group: str, by: str, levels: int) -> Column:
-    """Replace bracket groups from the inside out, ``levels`` deep."""
-    for _ in range(levels):
-        text = F.regexp_replace(text, F.lit(group), F.lit(by))
-    return text
+def nesting(text: Column) -> Column:
+    """How deep the brackets of masked text nest; closing ones without an opening one do not count."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, bracket: Column) -> Column:
+        now = F.greatest(acc["now"] + F.when(bracket.isin("[", "(", "{"), 1).otherwise(-1), F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(r"[\[\](){}]"), F.lit(0)), start, step, lambda acc: acc["most"])
+
+
+def shrink_groups(text: Column, group: str, by: str) -> Column:
+    """Replace bracket groups from the inside out, as often as this row's brackets nest."""
+    def folded(t: Column) -> Column:
+        rounds = F.sequence(F.lit(1), F.greatest(nesting(t), F.lit(1)))
+        return F.aggregate(rounds, t, lambda acc, _: F.regexp_replace(acc, F.lit(group), F.lit(by)))
+
+    return let(text, folded)
 
 
 def unquoted(literal: Column) -> Column:
@@ -86,7 +99,7 @@ def function_names(masked: Column) -> Column:
 
 def positional_params(params: Column) -> Column:
     """Positional parameter names of a raw parameter list, without self and cls."""
-    flat = shrink_groups(mask_literals(params), BRACKET_GROUP, "", 4)
+    flat = shrink_groups(mask_literals(params), BRACKET_GROUP, "")
     listed = F.transform(
         F.split(flat, ",", -1),
         lambda part: F.regexp_extract(part, rf"^\s*([*/]|{IDENT})", 1),
@@ -118,7 +131,7 @@ def target_names(targets: Column) -> Column:
 
 def without_calls(masked: Column) -> Column:
     """Masked code without parenthesised text, so keyword arguments are not assignments."""
-    return shrink_groups(masked, CALL_GROUP, "", 4)
+    return shrink_groups(masked, CALL_GROUP, "")
 
 
 def assignment_targets(masked: Column) -> Column:
@@ -158,7 +171,8 @@ def constant_facts(code: Column) -> Column:
                 token.startswith("class"),
                 F.filter(
                     F.regexp_extract_all(token, F.lit(SPARK.class_constant), F.lit(0)),
-                    lambda inner: inner.rlike(CONSTANT_HEAD),
+                    lambda inner: inner.rlike(CONSTANT_HEAD)
+                    & (F.regexp_extract(inner, "^([ \t]*)", 1) == F.regexp_extract(token, CLASS_MARGIN, 1)),
                 ),
             ).otherwise(F.filter(F.array(token), lambda outer: outer.rlike(CONSTANT_HEAD))),
         )
@@ -167,11 +181,11 @@ def constant_facts(code: Column) -> Column:
         flat,
         lambda token: F.struct(
             token.rlike("^[ \t]").alias("in_class"),
-            F.regexp_extract(token, r"^[ \t]*([A-Z0-9_]+)", 1).alias("name"),
+            F.regexp_extract(token, rf"^[ \t]*({UPPER_NAME})", 1).alias("name"),
             strip(F.regexp_extract(token, r"^[^=]*=((?s:.*))$", 1)).alias("value"),
         ),
     )
-    return F.filter(facts, lambda c: c["name"].rlike("[A-Z]") & ~c["value"].startswith("="))
+    return F.filter(facts, lambda c: c["name"].rlike(r"\p{Lu}") & ~c["value"].startswith("="))
 
 
 def last_values(ordered: Column) -> Column:
@@ -207,8 +221,8 @@ def _literal(value: Column, in_class: Column, masked: Column) -> Column:
         body = F.substr(plain, F.lit(2), F.greatest(F.length(plain) - 2, F.lit(0)))
         return F.struct(
             is_literal.alias("is_literal"), F.substring(plain, 1, 1).alias("first"),
-            shrink_groups(plain, BRACKET_GROUP, "0", 4).alias("outer"),
-            strip(shrink_groups(body, BRACKET_GROUP, "0", 4)).alias("inner"),
+            shrink_groups(plain, BRACKET_GROUP, "0").alias("outer"),
+            strip(shrink_groups(body, BRACKET_GROUP, "0")).alias("inner"),
         )
 
     def typed(s: Column) -> Column:

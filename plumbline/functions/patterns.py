@@ -11,13 +11,20 @@ from dataclasses import dataclass
 
 IDENT = r"[\p{L}\p{N}_]+"
 BLOCK_CHAR = "\u0001"
+#: Python's own tokenizer refuses source whose brackets nest deeper.
+MAX_NESTING = 200
+UPPER_NAME = r"[\p{Lu}_][\p{Lu}\p{Lo}\p{N}_]*"
 
 
 @dataclass(frozen=True)
 class SourcePatterns:
-    """Pattern texts; ``poss`` is appended to every quantifier that never gives back."""
+    """Pattern texts; ``poss`` is appended to every quantifier that never gives back.
+
+    ``nesting`` is the depth of brackets that a pattern follows.
+    """
 
     poss: str = "+"
+    nesting: int = MAX_NESTING
 
     @property
     def string(self) -> str:
@@ -41,19 +48,22 @@ class SourcePatterns:
             + rf"|#[^\n]*{p}"
         )
 
-    def inside_brackets(self, depth: int) -> str:
-        """Text between brackets, with ``depth`` further levels of brackets in it."""
+    @property
+    def inside_brackets(self) -> str:
+        """Text between brackets, with ``nesting`` further levels of brackets in it."""
         p = self.poss
-        parts = [rf"[^\"'#\[\](){{}}]+{p}", self.string, self.comment]
-        if depth:
-            parts.append(rf"[\[({{]{self.inside_brackets(depth - 1)}[\])}}]")
-        return f"(?:{'|'.join(parts)})*{p}"
+        plain = "|".join([rf"[^\"'#\[\](){{}}]+{p}", self.string, self.comment])
+        text = f"(?:{plain})*{p}"
+        for _ in range(self.nesting):
+            text = rf"(?:{plain}|[\[({{]{text}[\])}}])*{p}"
+        return text
 
     @property
     def header(self) -> str:
         """Function header up to its colon: captures indent, name, parameters."""
         return (
-            rf"(?m:^)([ \t]*)def[ \t]+({IDENT})[ \t]*\(({self.inside_brackets(3)})\)[^:\n]*:"
+            rf"(?m:^)([ \t]*)def[ \t]+({IDENT})[ \t]*\(({self.inside_brackets})\)"
+            rf"(?:[^:\n\"'#\[\](){{}}]+{self.poss}|{self.string}|[\[({{]{self.inside_brackets}[\])}}])*{self.poss}:"
         )
 
     @property
@@ -93,7 +103,7 @@ class SourcePatterns:
         p = self.poss
         return (
             rf"(?:[^\"'#\[\](){{}}\n]+{p}|{self.string}"
-            rf"|[\[({{]{self.inside_brackets(3)}[\])}}])*{p}"
+            rf"|[\[({{]{self.inside_brackets}[\])}}])*{p}"
         )
 
     @property
@@ -102,23 +112,24 @@ class SourcePatterns:
         p = self.poss
         return (
             rf"(?m:^)class[ \t][^\n]*\n(?:[ \t]+[^\n]*{p}\n|[ \t]*\n)*{p}"
-            rf"|(?m:^)[A-Z_][A-Z0-9_]*[ \t]*=[ \t]*{self.constant_value}"
+            rf"|(?m:^){UPPER_NAME}[ \t]*=[ \t]*{self.constant_value}"
             rf"|{self.string}|{self.comment}"
         )
 
     @property
     def class_constant(self) -> str:
-        """Constants one indent deep inside a class block."""
+        """Constants inside a class block, however deep; their indent tells those of the class itself."""
         return (
-            rf"(?m:^)(?:    |\t)[A-Z_][A-Z0-9_]*[ \t]*=[ \t]*{self.constant_value}"
+            rf"(?m:^)[ \t]+{UPPER_NAME}[ \t]*=[ \t]*{self.constant_value}"
             rf"|{self.string}|{self.comment}"
         )
 
 
 SPARK = SourcePatterns("+")
-PLAIN = SourcePatterns("")
+PLAIN = SourcePatterns("", 9)
 
 BRACKET_GROUP = r"[\[({][^\[\](){}]*[\])}]"
 CALL_GROUP = r"\([^()]*\)"
-CONSTANT_HEAD = r"^[ \t]*[A-Z_][A-Z0-9_]*[ \t]*="
+CONSTANT_HEAD = rf"^[ \t]*{UPPER_NAME}[ \t]*="
+CLASS_MARGIN = r"^class[^\n]*\n(?:[ \t]*(?:#[^\n]*)?\n)*([ \t]+)"
 PARAM_DOC = r":param\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*:"

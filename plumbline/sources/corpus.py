@@ -66,6 +66,17 @@ def _code() -> Column:
         "            b=[2, 3])",
         "",
     )
+    deep = _lines(
+        F.concat(F.lit("def deep_"), w1, F.lit("(a, b=f(g(h(i(j(k([1])))))), c=2) -> Dict[")),
+        "    str, int",
+        "]:",
+        F.concat(F.lit('    """Deep '), w1, F.lit('."""')),
+        "    x_df.select(",
+        "        add_kw=f(g(h(i(j(k(1)))))),",
+        "        b=2)",
+        "    deep_value = 1",
+        "",
+    )
     return _lines(
         F.when(_every(4), F.concat(F.lit("# "), F.replace(text, F.lit(NL), F.lit("\n# ")))),
         F.when(_every(3), "# ---- #\n# Your code starts here"),
@@ -95,6 +106,7 @@ def _code() -> Column:
         F.when(_every(4, 1), "    for row in rows:\n        add_row = row"),
         F.concat(F.lit("    return "), w1, F.lit("_df")),
         "",
+        F.when(_every(8, 3), deep),
         F.when(_every(9, 4), job),
         "def run(spark):",
         "    return 1",
@@ -135,6 +147,12 @@ def _constants() -> Column:
         "        INNER = 1",
         "",
         F.when(_every(2), F.concat(up1, F.lit('_FIELD = ["x", "y"]'))),
+        'DEEP_FIELD = {"a": [[[[[[1]]]]]], "b": 2}',
+        "AÑO_FIELD = 1",
+        "class Two:",
+        "  # two",
+        "  TWO_FIELD = 2",
+        "",
         'COLUMN_FIELDS = F.col("x")',
         "EMPTY_FIELDS = []",
         "lower_name = 1",

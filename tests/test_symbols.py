@@ -64,6 +64,27 @@ def check_two(
     # comment
     """Second."""
     pass
+''',
+    "deep": '''
+def deep(a, b=f(g(h(i(j(k(l(m(1)))))))), c=2) -> Dict[
+    str, List[
+        int
+    ]
+]:
+    """Deep doc."""
+    x_df.select(
+        add_kw=f(g(h(i(j(k(1)))))),
+        b=2)
+    kept_value = {"a": [[[[[[[1]]]]]]]}
+
+DEEP = {"a": [[[[[[[(1,)]]]]]]]}
+AÑO_FIELD = 1
+class Two:
+
+  # two
+  TWO_FIELD = 2
+  def run(self):
+    INNER = 1
 ''',
     "empty": "",
 }
