@@ -11,7 +11,7 @@ import re
 
 from plumbline import policy as P
 from plumbline.functions.patterns import (
-    BRACKET_GROUP, CALL_GROUP, CLASS_MARGIN, CONSTANT_HEAD, IDENT, PARAM_DOC, PLAIN, UPPER_NAME,
+    AFTER_SEMICOLON, BRACKET_GROUP, CALL_GROUP, CLASS_MARGIN, CONSTANT_HEAD, IDENT, ONE_LINE_BLOCK, PARAM_DOC, PLAIN, UPPER_NAME,
 )
 from plumbline.functions.words import SEPARATORS, WORD
 from plumbline.operators.scopes import LANGUAGE_FIXED, PANDAS_FIXED, VARIABLE_FIXED
@@ -212,7 +212,8 @@ SELECT repo, branch, file_ord, path, CASE
     '    return ' || w1 || '_df', '',
     CASE WHEN doc_id % 8 = 3 THEN concat_ws(chr(10), 'def deep_' || w1 || '(a, b=f(g(h(i(j(k([1])))))), c=2) -> Dict[', '    str, int',
         ']:', '    ' || repeat('"', 3) || 'Deep ' || w1 || '.' || repeat('"', 3), '    x_df.select(',
-        '        add_kw=f(g(h(i(j(k(1)))))),', '        b=2)', '    deep_value = 1', '') END,
+        '        add_kw=f(g(h(i(j(k(1)))))),', '        b=2)', '    if a: late_value = 3', '    left_value, *rest_value = 1, 2; last_value = 4',
+        '    def inner_part(b):', '        inner_value = 1', '    deep_value = 1', '') END,
     CASE WHEN doc_id % 9 = 4 THEN concat_ws(chr(10), 'class ' || w1 || 'Job:', '    def setUp(self):', '        pass',
         '', '    def bad_' || w1 || '(self, ' || w2 || ', *args, key=None):', '        ''''''Short note.''''''',
         '        self.value = 1', '        ' || w1 || '_Value = dict(', '            add_key=1,',
@@ -400,13 +401,18 @@ SELECT {FK}, b, CAST(row_number() OVER (PARTITION BY repo, branch, path ORDER BY
 WHERE {has('b', PLAIN.block_header)}"""
 CTE["q_extract_functions"] = f"""
 SELECT {FK}, fn_pos, CAST(length({find('b', PLAIN.block_header, 1)}) AS INT) AS indent, {find('b', PLAIN.block_header, 2)} AS fn_name FROM fn_blocks"""
-CTE["nocalls"] = f"SELECT {FK}, {shrink('code', CALL_GROUP, '')} AS code FROM masked"
+def one_statement_a_line(text: str) -> str:
+    apart = f"regexp_replace({text}, ';[ ' || chr(9) || ']*', chr(10) || repeat(' ', {AFTER_SEMICOLON}), 'g')"
+    return sub(apart, ONE_LINE_BLOCK, r"\1\2")
+
+
+CTE["nocalls"] = f"SELECT {FK}, {one_statement_a_line(shrink('code', CALL_GROUP, ''))} AS code FROM masked"
 CTE["targets"] = f"""
 SELECT {FK}, i, j, lower(name) AS name FROM (
   SELECT {FK}, i, unnest(names) AS raw, generate_subscripts(names, 1) AS j, {strip('raw')} AS name FROM (
     SELECT {FK}, i, string_split(g, ',') AS names FROM (
       SELECT {FK}, unnest(gs) AS g, generate_subscripts(gs, 1) AS i FROM (SELECT {FK}, {find_all('code', PLAIN.assignment, 1)} AS gs FROM nocalls))))
-WHERE name <> '' AND NOT {has('name', '^[0-9]')}"""
+WHERE {has('name', f'^{IDENT}$')} AND NOT {has('name', '^[0-9]')}"""
 CTE["q_extract_assignments"] = (
     f"SELECT {FK}, CAST(row_number() OVER (PARTITION BY repo, branch, path ORDER BY i, j) - 1 AS INT) AS pos, name FROM targets"
 )
@@ -425,14 +431,22 @@ CTE["q_extract_docstrings"] = f"SELECT {FK}, fn_pos, fn_name, line_no, line FROM
 CTE["q_docstring_params"] = f"""
 SELECT {FK}, fn_pos, fn_name, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS param_pos, unnest(ps) AS param
 FROM (SELECT *, {find_all('docstring', PARAM_DOC, 1)} AS ps FROM fns)"""
+CTE["code_lines"] = rf"""
+SELECT *, length({find('line', '^([ ' + chr(9) + ']*)', 1)}) AS ind, {has('line', PLAIN.block_header)} AS is_def FROM (
+  SELECT {FK}, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln
+  FROM (SELECT {FK}, string_split({one_statement_a_line(shrink('code', BRACKET_GROUP, chr(2)))}, {NL}) AS ls FROM masked))"""
+CTE["def_lines"] = rf"""
+SELECT d.repo, d.branch, d.path, d.ln, d.ind, any_value(d.line) AS line, min(n.ln) AS stop,
+  CAST(row_number() OVER (PARTITION BY d.repo, d.branch, d.path ORDER BY d.ln) - 1 AS INT) AS fn_pos
+FROM code_lines d LEFT JOIN code_lines n ON d.repo = n.repo AND d.branch = n.branch AND d.path = n.path AND n.ln > d.ln AND n.ind <= d.ind
+  AND {has('n.line', '[^ ' + chr(9) + ']')}
+WHERE d.is_def GROUP BY d.repo, d.branch, d.path, d.ln, d.ind"""
 CTE["local_vars"] = rf"""
-SELECT DISTINCT {FK}, fn_pos, fn_name, indent, {strip('line')} AS variable FROM (
-  SELECT {FK}, fn_pos, {find('b', PLAIN.block_header, 2)} AS fn_name, CAST(length({find('b', PLAIN.block_header, 1)}) AS INT) AS indent,
-    unnest({find_all('b', rf'(?m:^)([ \t]*{IDENT}[ \t]*)=[^=]', 1)}) AS line FROM (
-      SELECT {FK}, b, CAST(row_number() OVER (PARTITION BY repo, branch, path ORDER BY i) - 1 AS INT) AS fn_pos FROM (
-        SELECT {FK}, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (SELECT {FK}, {blocks('code')} AS bs FROM nocalls))
-      WHERE {has('b', PLAIN.block_header)}))
-WHERE length(line) - length(ltrim(line)) > indent AND NOT {has(strip('line'), '^[0-9]')}"""
+SELECT DISTINCT {FK}, fn_pos, fn_name, indent, variable FROM (
+  SELECT d.repo, d.branch, d.path, fn_pos, {find('d.line', PLAIN.block_header, 2)} AS fn_name, CAST(d.ind AS INT) AS indent,
+    {strip(find('n.line', rf'^([ {chr(9)}]*{IDENT}[ {chr(9)}]*)=(?:[^=]|$)', 1))} AS variable
+  FROM def_lines d JOIN code_lines n ON d.repo = n.repo AND d.branch = n.branch AND d.path = n.path AND n.ln > d.ln AND (stop IS NULL OR n.ln < stop))
+WHERE variable <> '' AND NOT {has('variable', '^[0-9]')}"""
 CTE["telling_vars"] = f"""
 SELECT * FROM local_vars WHERE variable NOT IN {in_list(P.TECHNICAL_NAMES)} AND length(variable) > 4
   AND NOT {any_suffix('variable', P.VARIABLE_SUFFIXES)} AND NOT {any_contains('variable', P.VARIABLE_INFIXES)}"""

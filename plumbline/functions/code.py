@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions.patterns import (
-    BLOCK_CHAR, BRACKET_GROUP, CALL_GROUP, CLASS_MARGIN, CONSTANT_HEAD, IDENT, PARAM_DOC, SPARK, UPPER_NAME,
+    AFTER_SEMICOLON, BLOCK_CHAR, BRACKET_GROUP, CALL_GROUP, CLASS_MARGIN, CONSTANT_HEAD, GROUP_CHAR, IDENT, ONE_LINE_BLOCK,
+    PARAM_DOC, SPARK, UPPER_NAME,
 )
 from plumbline.functions.text import let, strip
 
@@ -125,7 +126,7 @@ def target_names(targets: Column) -> Column:
     """Names in an array of comma-separated target lists."""
     return F.filter(
         F.flatten(F.transform(targets, lambda group: F.transform(F.split(group, ",", -1), strip))),
-        lambda name: (name != "") & ~name.rlike("^[0-9]"),
+        lambda name: name.rlike(rf"^{IDENT}$") & ~name.rlike("^[0-9]"),
     )
 
 
@@ -136,21 +137,38 @@ def without_calls(masked: Column) -> Column:
 
 def assignment_targets(masked: Column) -> Column:
     """Plain-assignment targets of masked code, lower-cased, in text order."""
-    groups = F.regexp_extract_all(without_calls(masked), F.lit(SPARK.assignment), F.lit(1))
+    groups = F.regexp_extract_all(one_statement_a_line(without_calls(masked)), F.lit(SPARK.assignment), F.lit(1))
     return F.transform(target_names(groups), F.lower)
 
 
+def one_statement_a_line(flat: Column) -> Column:
+    """Statements after a semicolon or the colon of a one-line block on lines of their own indent.
+
+    What follows a semicolon gets an indent below any other, so that it stays in its block.
+    """
+    apart = F.regexp_replace(flat, F.lit(r";[ \t]*"), F.lit("\n" + " " * AFTER_SEMICOLON))
+    return F.regexp_replace(apart, F.lit(ONE_LINE_BLOCK), F.lit("$1$2"))
+
+
 def local_variables(masked: Column) -> Column:
-    """array<struct<indent, pos, name, variables>>: single-name targets per function body."""
-    blocks = function_blocks(without_calls(masked))
+    """array<struct<indent, pos, name, variables>>: single-name targets per function body.
 
-    def facts(block: Column, i: Column) -> Column:
-        margin = F.length(F.regexp_extract(block, SPARK.block_header, 1))
-        lines = F.regexp_extract_all(
-            block, F.lit(rf"(?m:^)([ \t]*{IDENT}[ \t]*)=[^=]"), F.lit(1)
-        )
-        inner = F.filter(lines, lambda line: F.length(line) - F.length(F.ltrim(line)) > margin)
-        names = F.filter(F.transform(inner, strip), lambda name: ~name.rlike("^[0-9]"))
+    A body reaches to the first line whose indent is not above the function's, nested functions
+    included; their variables count for the inner and the outer function.
+    """
+    flat = one_statement_a_line(shrink_groups(masked, BRACKET_GROUP, GROUP_CHAR))
+    marked = F.regexp_replace(flat, F.lit(SPARK.block_start), F.lit(BLOCK_CHAR + "$1"))
+    indent = lambda block: F.length(F.regexp_extract(block, r"^([ \t]*)", 1))
+
+    def facts(bs: Column, indents: Column, k: Column, i: Column) -> Column:
+        block = F.get(bs, k)
+        margin = F.get(indents, k)
+        later = F.when(k + 1 < F.size(bs), F.sequence(k + 1, F.size(bs) - 1)).otherwise(F.array().cast("array<int>"))
+        end = F.coalesce(F.array_min(F.filter(later, lambda x: F.get(indents, x) <= margin)), F.size(bs))
+        text = F.array_join(F.slice(bs, k + 1, end - k), "")
+        ends = F.concat(F.lit("\n[ \t]{0,"), margin.cast("string"), F.lit("}(?=[^ \t\n])"))
+        lines = F.regexp_extract_all(F.get(F.split(text, ends, 2), F.lit(0)), F.lit(rf"(?m:^)([ \t]*{IDENT}[ \t]*)=[^=]"), F.lit(1))
+        names = F.filter(F.transform(lines, strip), lambda name: ~name.rlike("^[0-9]"))
         return F.struct(
             margin.alias("indent"),
             i.alias("pos"),
@@ -158,7 +176,11 @@ def local_variables(masked: Column) -> Column:
             F.array_sort(F.array_distinct(names)).alias("variables"),
         )
 
-    return F.transform(blocks, facts)
+    def of_blocks(bs: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(bs) - 1), lambda k: F.get(bs, k).rlike(SPARK.block_header))
+        return let(F.transform(bs, indent), lambda indents: F.transform(heads, lambda k, i: facts(bs, indents, k, i)))
+
+    return let(F.split(marked, BLOCK_CHAR, -1), of_blocks)
 
 
 def constant_facts(code: Column) -> Column:

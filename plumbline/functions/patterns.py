@@ -10,7 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 IDENT = r"[\p{L}\p{N}_]+"
+#: One target of an assignment; only plain names count, the others may stand beside them.
+TARGET = rf"\*?{IDENT}(?:\.{IDENT}|\[[^\[\]\n]*\])*"
 BLOCK_CHAR = "\u0001"
+GROUP_CHAR = "\u0002"
+AFTER_SEMICOLON = 400
+ONE_LINE_BLOCK = r"(?m:^)([ \t]*)(?:if|elif|else|for|while|with|try|except|finally)\b[^:\n]*:[ \t]+([^ \t\n])"
 #: Python's own tokenizer refuses source whose brackets nest deeper.
 MAX_NESTING = 200
 UPPER_NAME = r"[\p{Lu}_][\p{Lu}\p{Lo}\p{N}_]*"
@@ -95,7 +100,7 @@ class SourcePatterns:
         """Plain assignment on masked code: captures the comma-separated targets."""
         p = self.poss
         return (
-            rf"(?m:^)[ \t]*\[?((?:{IDENT}[ \t]*,[ \t]*)*{p}(?:{IDENT})?)[ \t]*\]?[ \t]*=[^=]"
+            rf"(?m:^)[ \t]*\[?((?:{TARGET}[ \t]*,[ \t]*)*{p}(?:{TARGET})?)[ \t]*\]?[ \t]*=[^=]"
         )
 
     @property

@@ -74,6 +74,10 @@ def _code() -> Column:
         "    x_df.select(",
         "        add_kw=f(g(h(i(j(k(1)))))),",
         "        b=2)",
+        "    if a: late_value = 3",
+        "    left_value, *rest_value = 1, 2; last_value = 4",
+        "    def inner_part(b):",
+        "        inner_value = 1",
         "    deep_value = 1",
         "",
     )

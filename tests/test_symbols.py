@@ -64,6 +64,15 @@ def check_two(
     # comment
     """Second."""
     pass
+''',
+    "forms": '''
+def forms(c):
+    left, *rest = c
+    one, self.two = 1, 2
+    three[0], four = 1, 2
+    if c: late = 3
+    a = 1; b = 2
+    for i in c: seen = i
 ''',
     "deep": '''
 def deep(a, b=f(g(h(i(j(k(l(m(1)))))))), c=2) -> Dict[
@@ -162,10 +171,17 @@ def test_constants(pairs):
         assert list(row.constants) == expected, row.path
 
 
-def test_locals_belong_to_the_nearest_function(make_files):
+def test_locals_count_for_inner_and_outer_functions(make_files):
     rf = make_files({"R": {"R/nested.py": SAMPLES["nested"]}})
     found = {(r.fn_name, r.variable) for r in symbols.extract_local_vars(rf).collect()}
-    assert found == {("setUp", "add_x"), ("inner", "z_value"), ("outer", "total")}
+    assert found == {("setUp", "add_x"), ("setUp", "z_value"), ("inner", "z_value"), ("outer", "total")}
+
+
+def test_locals_after_a_nested_function(make_files):
+    text = "def outer(a):\n    def inner(b):\n        inner_value = [\n1]\n    if a: late_value = 3\n    first_value = 1; second_value = 2\n    a.b, plain_value = 1, 2\nmodule_value = 1\n"
+    found = {(r.fn_name, r.variable) for r in symbols.extract_local_vars(make_files({"R": {"R/a.py": text}})).collect()}
+    outer = {"inner_value", "late_value", "first_value", "second_value"}
+    assert found == {("inner", "inner_value"), *(("outer", v) for v in outer)}
 
 
 def test_last_constant_value_wins_in_first_place(make_files):
