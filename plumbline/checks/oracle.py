@@ -226,12 +226,13 @@ CTE["repos"] = "SELECT DISTINCT repo, branch FROM listing"
 # --- sources -------------------------------------------------------------------------------
 CTE["requests"] = r"""
 SELECT page_id AS request_id,
-  CASE WHEN page_id % 13 = 0 THEN '' WHEN page_id % 7 = 0 THEN browse || '/' WHEN page_id % 5 = 0 THEN url ELSE browse END AS url,
+  CASE WHEN page_id % 13 = 0 THEN '' WHEN page_id % 7 = 0 THEN browse || '/' WHEN page_id % 5 = 0 THEN url
+    WHEN page_id % 11 = 0 THEN 'x/y' ELSE browse END AS url,
   CASE WHEN page_id % 3 = 0 THEN '  ' WHEN page_id % 4 <> 0
     THEN ' ' || regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) || ' ' END AS branch,
   contains(url, '?') AS has_token
 FROM (SELECT page_id, url, regexp_replace(url, '^(https?://[^/]+)/([a-z]+)/([0-9]+)(.*)$',
-        '\1/projects/\2/repos/r\3/browse\4') AS browse FROM pages)"""
+        '\1/projects/\2/repos/repo_' || (page_id // 25) || '/browse\4') AS browse FROM pages)"""
 CTE["q_branch_default"] = (
     f"SELECT request_id, coalesce(nullif({strip('branch')}, ''), {lit(POLICY.default_branch)}) AS branch FROM requests"
 )
@@ -786,6 +787,28 @@ SELECT repo, branch, true AS success, repo AS repo_value, spark_read AS spark_re
   constant_names AS constant_names_value, versions AS versions_value, {lit(','.join(('repo', *CELLS)))} AS column_list FROM q_scorecard"""
 
 
+CTE["q_findings"] = f"""
+SELECT {K}, 'function_verb' AS rule_id, path, fn_pos + 1 AS seq, NULL::INT AS line_no, fn_name AS detail FROM q_fn_verb_violations
+UNION ALL SELECT {K}, 'test_function_name', path, fn_pos + 1, NULL, fn_name FROM q_test_fn_violations
+UNION ALL SELECT {K}, 'variable_verb', basename, seq, NULL, name FROM q_variable_verb_violations
+UNION ALL SELECT {K}, 'forbidden_import', path, seq, line_no, label FROM q_udf_import_hits
+UNION ALL SELECT {K}, 'constant_name', path, seq, NULL, name || ' -> ' || suggested || ' (' || detail || ')' FROM q_const_naming_findings
+UNION ALL SELECT {K}, 'comment', path, seq, line_no, detail FROM q_comment_findings
+UNION ALL SELECT {K}, 'docstring_language', path, fn_pos + 1, line_no, fn_name || ': ' || line FROM q_docstring_language
+UNION ALL SELECT {K}, 'parameter_language', path, fn_pos + 1, NULL, fn_name || ': ' || param FROM q_param_language
+UNION ALL SELECT {K}, 'variable_language', path, fn_pos + 1, NULL, fn_name || ': ' || variable FROM q_variable_language
+UNION ALL SELECT {K}, 'docstring_parameters', path, fn_pos + 1, NULL, drift || ' ' || names FROM q_docstring_param_drift"""
+CTE["asked"] = """
+SELECT u.request_id, u.url, u.repo, b.branch,
+  CASE WHEN NOT f.accepted THEN 'REFUSED: ' || f.reason WHEN len(string_split(u.url, '/')) < 4 THEN 'SHORT_URL'
+    WHEN NOT u.is_valid THEN 'INVALID_URL' END AS refusal
+FROM q_repo_url_parse u JOIN q_request_filter f USING (request_id) JOIN q_branch_default b USING (request_id)"""
+CTE["q_audit_by_request"] = """
+SELECT a.request_id, a.url, a.repo, a.branch, coalesce(a.refusal, s.audit_status, 'UNKNOWN_REPOSITORY') AS audit_status,
+  s.* EXCLUDE (repo, branch, audit_status)
+FROM asked a LEFT JOIN q_scorecard s ON a.refusal IS NULL AND a.repo = s.repo AND a.branch = s.branch"""
+
+
 def statement(name: str) -> str:
     """The named result with every subquery it needs, in dependency order."""
     order: list[str] = []

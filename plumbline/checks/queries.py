@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import comments, config, constants, flags, language, naming, scopes, symbols
-from plumbline.plans import report, scorecard
+from plumbline.plans import findings, report, scorecard
 from plumbline.policy import DEFAULT_POLICY
 from plumbline.sources import corpus, files, requests
 
@@ -88,6 +88,7 @@ DICTIONARY_RULES = {
     "param_language": language.param_language,
     "variable_language": language.variable_language,
     "language_report": language.language_report,
+    "findings": findings.findings,
     "scorecard": scorecard.scorecard,
     "status_classes": lambda rf, words: scorecard.status_classes(scorecard.scorecard(rf, words)),
     "scorecard_json": lambda rf, words: json_fields(scorecard.scorecard_json(scorecard.scorecard(rf, words))),
@@ -125,6 +126,8 @@ def queries() -> dict[str, Query]:
             corpus.repo_files(spark, sf_dir), language.english_dictionary(corpus.documents(spark, sf_dir)))
     for name, rule in REQUEST_RULES.items():
         registry[name] = lambda spark, sf_dir, rule=rule: rule(corpus.audit_requests(spark, sf_dir))
+    registry["audit_by_request"] = lambda spark, sf_dir: findings.audit_by_request(
+        corpus.audit_requests(spark, sf_dir), registry["scorecard"](spark, sf_dir))
     registry["english_texts"] = lambda spark, sf_dir: language.english_texts(
         corpus.documents(spark, sf_dir), language.english_dictionary(corpus.documents(spark, sf_dir)))
     return registry

@@ -247,16 +247,17 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """audit_requests(request_id, url, branch, has_token), one row per page."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    page = F.col("page_id")
     browse = F.regexp_replace(
         "url", F.lit("^(https?://[^/]+)/([a-z]+)/([0-9]+)(.*)$"),
-        F.lit("$1/projects/$2/repos/r$3/browse$4"),
+        F.concat(F.lit("$1/projects/$2/repos/repo_"), F.expr(f"page_id div {FILES_PER_REPO}").cast("string"), F.lit("/browse$4")),
     )
-    page = F.col("page_id")
     return pages.select(
         page.alias("request_id"),
         F.when(page % 13 == 0, "")
         .when(page % 7 == 0, F.concat(browse, F.lit("/")))
         .when(page % 5 == 0, F.col("url"))
+        .when(page % 11 == 0, "x/y")
         .otherwise(browse).alias("url"),
         F.when(page % 3 == 0, "  ")
         .when(page % 4 != 0, F.concat(F.lit(" "), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1), F.lit(" ")))
