@@ -162,18 +162,18 @@ SELECT repo, branch, file_ord, path, CASE
   WHEN file_ord = 0 THEN concat_ws(chr(10),
     CASE WHEN doc_id % 9 = 1 THEN '{' END, 'app {', '  SALES_INPUT = "/in"',
     CASE WHEN doc_id % 3 <> 0 THEN '  SALES_OUTPUT = "/out"' END,
-    '  NOTE = "' || replace(replace(text, chr(10), ' '), '"', '') || '"', '  SCHEMA = "dev-bucket/nested"',
+    '  NOTE = "' || replace(replace(replace(text, chr(10), ' '), chr(92), repeat(chr(92), 2)), '"', chr(92) || '"') || '"', '  SCHEMA = "dev-bucket/nested"',
     CASE WHEN doc_id % 7 <> 0 THEN '}' END, CASE WHEN doc_id % 8 = 1 THEN 'MODE=batch' END,
     CASE WHEN doc_id % 4 = 0 THEN 'SCHEMA_PATH = "dev-bucket/x"' ELSE 'SCHEMA_PATH = "prod-bucket/x"' END,
     CASE WHEN doc_id % 12 = 0 THEN 'SCHEMA_PATH = "prod-bucket/y"' END,
     CASE WHEN doc_id % 5 = 1 THEN 'SCHEMA_NOTE = "prod/#x"  # not dev-bucket/x' END, CASE WHEN doc_id % 9 = 1 THEN '}' END)
-  WHEN file_ord = 1 THEN 'pandas==1.5.3' || chr(10) || 'engine_sdk==0.' || (doc_id % 3 + 3) || '.' || (doc_id % 13)
+  WHEN file_ord = 1 THEN 'pandas==1.5.3' || chr(10) || 'engine_sdk==0.' || (doc_id % 3 + 3) || '.' || (doc_id % 13) || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
   WHEN file_ord = 2 THEN CASE WHEN doc_id % 2 = 0
-    THEN 'a=1' || chr(10) || 'sonar.python.coverage.reportPaths=coverage.xml' ELSE 'sonar.x=1' END
-  WHEN file_ord = 3 THEN 'version = "' || ver || '"'
-  WHEN file_ord = 4 THEN '[metadata]' || chr(10) || 'version = ' || ver
-  WHEN file_ord = 5 THEN 'setup(version="' || ver || '")'
-  WHEN file_ord = 6 THEN '__version__ = "' || ver || '"'
+    THEN 'a=1' || chr(10) || 'sonar.python.coverage.reportPaths=coverage.xml' ELSE 'sonar.x=1' END || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
+  WHEN file_ord = 3 THEN 'version = "' || ver || '"' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
+  WHEN file_ord = 4 THEN '[metadata]' || chr(10) || 'version = ' || ver || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
+  WHEN file_ord = 5 THEN 'setup(version="' || ver || '")' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
+  WHEN file_ord = 6 THEN '__version__ = "' || ver || '"' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
   WHEN file_ord IN (9, 10) THEN concat_ws(chr(10),
     repeat('"', 3) || replace(sent, '"', '') || repeat('"', 3), upper(w1) || '_FIELD = "' || w1 || '"',
     upper(w2) || '_FIELDS = ["' || w2 || '"]', upper(w1) || ' = {"k": 1}',

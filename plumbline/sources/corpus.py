@@ -124,7 +124,7 @@ def _conf() -> Column:
         "app {",
         '  SALES_INPUT = "/in"',
         F.when(~_every(3), '  SALES_OUTPUT = "/out"'),
-        F.concat(F.lit('  NOTE = "'), F.translate("text", '\n"', " "), F.lit('"')),
+        F.concat(F.lit('  NOTE = "'), F.replace(F.replace(F.translate("text", "\n", " "), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')),
         '  SCHEMA = "dev-bucket/nested"',
         F.when(~_every(7), "}"),
         F.when(_every(8, 1), "MODE=batch"),
@@ -217,17 +217,18 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ver = F.concat(
         F.lit("1."), (F.col("k") % 3).cast("string"), F.when(_every(17), ".9").otherwise(".0")
     )
+    noted = lambda c: F.concat(c, F.lit("\n# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))
     content = (
         F.when(slot == 0, _conf())
-        .when(slot == 1, F.concat(
+        .when(slot == 1, noted(F.concat(
             F.lit("pandas==1.5.3\nengine_sdk==0."), (F.col("doc_id") % 3 + 3).cast("string"),
             F.lit("."), (F.col("doc_id") % 13).cast("string"),
-        ))
-        .when(slot == 2, F.when(_every(2), "a=1\nsonar.python.coverage.reportPaths=coverage.xml").otherwise("sonar.x=1"))
-        .when(slot == 3, F.concat(F.lit('version = "'), ver, F.lit('"')))
-        .when(slot == 4, F.concat(F.lit("[metadata]\nversion = "), ver))
-        .when(slot == 5, F.concat(F.lit('setup(version="'), ver, F.lit('")')))
-        .when(slot == 6, F.concat(F.lit('__version__ = "'), ver, F.lit('"')))
+        )))
+        .when(slot == 2, noted(F.when(_every(2), "a=1\nsonar.python.coverage.reportPaths=coverage.xml").otherwise("sonar.x=1")))
+        .when(slot == 3, noted(F.concat(F.lit('version = "'), ver, F.lit('"'))))
+        .when(slot == 4, noted(F.concat(F.lit("[metadata]\nversion = "), ver)))
+        .when(slot == 5, noted(F.concat(F.lit('setup(version="'), ver, F.lit('")'))))
+        .when(slot == 6, noted(F.concat(F.lit('__version__ = "'), ver, F.lit('"'))))
         .when(slot.isin(9, 10), _constants())
         .when(slot.isin(14, 15), F.col("text"))
         .otherwise(_code())

@@ -36,14 +36,21 @@ def read_file_table(spark: SparkSession, path: str) -> DataFrame:
 def read_checkouts(spark: SparkSession, root: str, branch: str = "develop") -> DataFrame:
     """File table from checked-out text files stored as ``root/<repo>/<path>``.
 
-    The listing order is path order.  Only paths are range-partitioned and
-    sorted; the order number need not be dense, so no window over one
-    repository is needed.
+    The listing order is path order: rows are range-partitioned by path, and the order number need
+    not be dense, so no window over one repository is needed.  Bodies travel in that one shuffle;
+    a table written from here (`read_file_table`) is never shuffled again.
+
+    Spark's file sources do not list names that begin with ``_`` or ``.``.  Checkouts whose
+    ``__init__.py`` matters must come as a file table.
     """
     files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    below = F.regexp_extract(F.col("_metadata.file_path"), rf"{root.rstrip('/')}/(.*)$", 1)
+    # the listing gives URIs; a plus sign stands for itself there
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    start = "/" + root.split("://", 1)[-1].strip("/") + "/"
+    below = F.expr("substring(decoded, instr(decoded, start) + length(start))")
     return (
-        files.select(F.col("value").alias("content"), below.alias("full"))
+        files.select(F.col("value").alias("content"), decoded.alias("decoded"), F.lit(start).alias("start"))
+        .select("content", below.alias("full"))
         .select(
             F.substring_index("full", "/", 1).alias("repo"), F.lit(branch).alias("branch"),
             F.regexp_replace("full", "^[^/]*/", "").alias("path"), "content",

@@ -209,3 +209,21 @@ def test_comments(make_files):
     assert [r.line_no for r in comments.comment_findings(rf).orderBy("seq").collect()] == [3, 4, 6]
     verdicts = {r.path: (r.passed, r.is_missing) for r in comments.comment_verdicts(rf).collect()}
     assert verdicts["R/app.py"] == (True, True) and verdicts["tests/test_app.py"] == (False, False) and len(verdicts) == 7
+
+
+def test_schema_value_ends_at_a_comment(make_files):
+    from plumbline.operators import config
+
+    conf = lambda line: {"resources/application.conf": f"a {{\n}}\n{line}\n"}
+    table = make_files({"A": conf('SCHEMA_P = "prod/x" # not dev-bucket/x'), "B": conf('SCHEMA_P = "dev-bucket#1"'), "C": conf("SCHEMA_P = x // dev-bucket")})
+    assert {r.repo: r.status for r in config.conf_schema(table).collect()} == {"A": "OK", "B": "ERROR", "C": "OK"}
+
+
+def test_package_name_is_literal(make_files):
+    from dataclasses import replace
+
+    from plumbline.operators import config
+    from plumbline.policy import DEFAULT_POLICY
+
+    table = make_files({"R": {"requirements.txt": "aXb==1.0.0"}})
+    assert config.min_version(table, replace(DEFAULT_POLICY, sdk_package="a.b")).first().sdk_version is None

@@ -29,7 +29,7 @@ def known(spark):
 
 def test_no_python_nodes_anywhere(spark):
     for name, query in queries().items():
-        assert not re.search(r"Python|InPandas|CartesianProduct|NestedLoop", plan_of(query(spark, SF_DIR))), name
+        assert not re.search(r"Python|InPandas|CartesianProduct|NestedLoop|REPARTITION", plan_of(query(spark, SF_DIR))), name
 
 
 def test_scorecard_scans_bodies_twice_and_shuffles_none(spark):

@@ -67,3 +67,36 @@ def test_file_table_round_trip(spark, make_files, tmp_path):
     make_files({"R": {"a.py": None, "b.py": "x"}}).write.parquet(str(tmp_path / "t"))
     table = files.read_file_table(spark, str(tmp_path / "t"))
     assert [r.content for r in table.orderBy("path").collect()] == ["", "x"]
+
+
+def test_checkout_paths_are_decoded_and_the_root_is_literal(spark, tmp_path):
+    root = tmp_path / "a+b (c) 1.0"
+    for name in ("x y.py", "p+q.py", "r%20s.py", "sub dir/é.py"):
+        target = root / "r1" / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(name)
+    rows = files.read_checkouts(spark, str(root)).collect()
+    assert sorted((r.repo, r.path, r.content) for r in rows) == sorted(("r1", n, n) for n in ("x y.py", "p+q.py", "r%20s.py", "sub dir/é.py"))
+
+
+def test_more_expected_paths_than_bits_of_a_number(make_files):
+    paths = tuple((f"f{i}.py", i % 2 == 1) for i in range(150))
+    table = make_files({"R": {"f0.py": "", "R/f1.py": "", "f100.py": "", "R/f149.py": "", "f3.py": ""}})
+    missing = {r.scope_pos for r in files.missing_paths(table, paths).collect()}
+    assert missing == set(range(150)) - {0, 1, 100, 149}
+
+
+def test_bodies_are_read_of_wanted_files_only(spark, make_files, tmp_path):
+    from plumbline.operators import comments, config, constants, flags, naming
+
+    make_files({"R": {"setup.py": "version='1'"}, "S": {"x.py": ""}}).write.parquet(str(tmp_path / "t"))
+    table = files.read_file_table(spark, str(tmp_path / "t"))
+    for rule in (config.sonar, config.conf_size, config.conf_schema, config.io_suffixes, config.min_version, config.repo_versions,
+                 flags.app_logic, flags.flags_by_repo, constants.picked_fields, files.content_lookup):
+        found = rule(table)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line]
+        with_body = [line for line in scans if "content:string" in line.split("ReadSchema")[1]]
+        assert with_body and all("path" in line.split("PushedFilters")[1].split("ReadSchema")[0] for line in with_body), rule.__name__
+        assert len(scans) > len(with_body), rule.__name__
+        assert {r.repo for r in found.collect()} >= {"R", "S"}, rule.__name__
