@@ -22,7 +22,7 @@ from .shared import written
 
 #: Runs that differ from one space; a single space needs no replacement.
 _UNEVEN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-CAPACITY = 1024
+CAPACITY = 256
 MAX_DEPTH = 14
 
 
