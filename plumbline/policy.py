@@ -75,7 +75,7 @@ APP_COMMENT_MARKERS = (
 # extend or replace them.
 ALLOWED_WORDS = tuple("""
 datetime utils concat dataframe input output output_df filters epigraphs logger config partition
-result input_df dataproc df relativedelta staticmethod joined_df date_str created_df dataframes
+result input_df df relativedelta staticmethod joined_df date_str created_df dataframes
 persisted_dataframes aggregate_func unix timestamp catalog_df irregula filtered_nulls_df tbuc
 disaggregate magicmock coment parquet cond guarannteect comment str bussiness ci disaggregated fxin
 aggregate readed deposit emissions not nmd cts regexp replace sum amortization number param
