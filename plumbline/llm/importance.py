@@ -1,29 +1,40 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-Words and word pairs are hashed into `BINS` bins. `bin_weights` counts the bins over all documents
-(raw) and over the trusted ones (target) and gives `log p_target - log p_raw` for each bin, smoothed;
-the table has `BINS` entries whatever the corpus. The score of a text is the mean weight of its
-n-grams. A text is kept unless its score is below `THRESHOLD` or the base rule fails.
-
-Words are read by shape, so that weights carry over to unseen words: a bin is that of (shape, length
-class) of a word, and of its pair with the word before, where a repeated word has a shape of its own.
-Built-in functions only.
+Every word and every pair of words is an n-gram. It is hashed twice: as it is written, and by shape. A
+shape has one sign for each run of small letters, capitals or digits, and a pair of equal words has one
+of its own. `BINS` is shared out between words, pairs and shapes (`_parts`). `bin_weights` counts the
+bins over all documents (raw) and over the trusted ones (target) and gives `log p_target - log p_raw`
+for each bin, smoothed towards the raw share of its part; the table has `BINS` entries whatever the corpus. The score of
+a text is the mean weight of its n-grams. A text is kept unless its score is below `THRESHOLD` or the
+base rule fails.
+
+An n-gram has the weight of its own bin if that says something about it, else that of its shape. A bin
+of words or pairs says nothing if fewer than `LEAST_COUNT` of its n-grams are found, and fewer are
+expected at the raw rate, in the target; or if it holds less than `LEAST_LOAD` times the median of its
+part, since rare n-grams share their bins with others, more of them the larger the corpus. So a text
+of words that the corpus does not hold is judged by its shapes alone. Built-in functions only.
 
 Defined results: a null or blank text has no words, score 0, and fails the base rule; empty tables
-give empty results; repeated rows are judged one by one; without trusted documents every weight is 0.
-Further columns are ignored.
+give empty results; repeated rows are judged one by one; without trusted documents every weight is 0;
+a null doc_id is not trusted. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+from math import log
+from statistics import median
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import SPACE, WORD, written
 
-BINS = 1 << 14
+BINS = 1 << 17
 THRESHOLD = -1.0
 SMOOTHING = 0.5
+#: Of a bin of words or pairs: least count found or expected in the target, and least multiple of the median raw count.
+LEAST_COUNT = 8
+LEAST_LOAD = 4
 MIN_WORDS = 10
 #: Most words in repeated windows, of 100.
 MOST_REPEATED = 20
@@ -52,33 +63,72 @@ def _with_hashes(docs: DataFrame, *keep: str) -> DataFrame:
             .withColumn("hashes", F.transform(_word_array(F.col("text")), lambda w: F.xxhash64(w))))
 
 
-def _grams(bins: int) -> Column:
-    """Bins of all words and word pairs; needs `hashes` and `shapes`."""
+def _parts(bins: int) -> tuple[int, int]:
+    """Where the bins of pairs and those of shapes begin; those of words come first."""
+    return bins * 3 // 8, bins * 7 // 8
+
+
+def _split_grams(bins: int) -> tuple[Column, Column]:
+    """Own bins and shape bins of all words, then of all word pairs; needs `hashes` and `shapes`."""
     later = lambda c: F.slice(F.col(c), F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
     pairs = F.arrays_zip(later("shapes").alias("shape"), later("hashes").alias("hash"), F.col("shapes").alias("shape_before"), F.col("hashes").alias("hash_before"))
     pairs = F.slice(pairs, F.lit(1), F.greatest(F.size("shapes") - 1, F.lit(0)))
-    return F.concat(
-        F.transform("shapes", lambda s: F.pmod(F.xxhash64(s), F.lit(bins)).cast("int")),
-        F.transform(pairs, lambda p: F.pmod(F.xxhash64(p["shape"], p["shape_before"], p["hash"] == p["hash_before"]), F.lit(bins)).cast("int")))
+    at_pairs, at_shapes = _parts(bins)
+    place = lambda h, start, end: (F.pmod(h, F.lit(end - start)) + start).cast("int")
+    own = F.concat(
+        F.transform("hashes", lambda h: place(h, 0, at_pairs)),
+        F.transform(pairs, lambda p: place(F.xxhash64(p["hash"], p["hash_before"]), at_pairs, at_shapes)))
+    shape = F.concat(
+        F.transform("shapes", lambda s: place(F.xxhash64(s), at_shapes, bins)),
+        F.transform(pairs, lambda p: place(F.xxhash64(p["shape"], p["shape_before"], p["hash"] == p["hash_before"]), at_shapes, bins)))
+    return own, shape
+
+
+def _grams(bins: int) -> Column:
+    """All bins of a text, two for each word and word pair; needs `hashes` and `shapes`."""
+    return F.concat(*_split_grams(bins))
+
+
+def _marked(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`(doc_id, text, good)` of documents that are not trusted for certain, and of the others.
+
+    Only the others are moved, to be joined with `trusted`: a bitmap of 2 ** 26 bits tells them apart.
+    """
+    good = trusted.select(F.col("doc_id").alias("_good")).filter("_good IS NOT NULL").distinct()
+    cell = lambda c: F.shiftrightunsigned(F.xxhash64(c), 44)
+    bits = good.groupBy(cell("_good").alias("_cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(_good) & 63 as int))")).alias("_bits"))
+    # at most 2 ** 20 rows
+    asked = docs.select("doc_id", "text", cell("doc_id").alias("_cell")).join(F.broadcast(bits), "_cell", "left").withColumn(
+        "_maybe", F.expr("coalesce(shiftrightunsigned(_bits, cast(xxhash64(doc_id) & 63 as int)) & 1L, 0L)"))
+    others = asked.filter("_maybe = 1").select("doc_id", "text").join(good, F.col("doc_id") == F.col("_good"), "left")
+    return (asked.filter("_maybe = 0").select("doc_id", "text", F.lit(False).alias("good")),
+            others.select("doc_id", "text", F.col("_good").isNotNull().alias("good")))
 
 
 def bin_counts(docs: DataFrame, trusted: DataFrame, bins: int = BINS) -> DataFrame:
     """`(bin, raw, target)` over all n-grams of `docs` and of those whose doc_id is in `trusted(doc_id)`."""
-    per_doc = _with_hashes(docs, "doc_id").select("doc_id", F.explode(_grams(bins)).alias("bin")).groupBy("doc_id", "bin").agg(F.count(F.lit(1)).alias("n"))
-    good = trusted.select(F.col("doc_id").alias("_good")).distinct()
-    marked = per_doc.join(good, F.col("doc_id") == F.col("_good"), "left")
-    return marked.groupBy("bin").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("_good").isNotNull(), F.col("n")).otherwise(0)).alias("target"))
+    parts = [_with_hashes(part, "good").select("good", F.explode(_grams(bins)).alias("bin")).groupBy("bin")
+             .agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target")) for part in _marked(docs, trusted)]
+    return parts[0].unionByName(parts[1]).groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def bin_weights(docs: DataFrame, trusted: DataFrame, bins: int = BINS, smoothing: float = SMOOTHING) -> Column:
-    """A constant array of `bins` log-likelihood ratios; the driver sees these `bins` numbers only."""
-    counts = written(bin_counts(docs, trusted, bins), "bin-counts")
-    totals = counts.select("*", F.lit(1).alias("one")).groupBy("one").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    share = lambda n, total: F.log((n + smoothing) / (total + smoothing * bins))
-    weight = F.when(F.col("all_target") > 0, share(F.col("target"), F.col("all_target")) - share(F.col("raw"), F.col("all_raw"))).otherwise(0.0)
-    found = {r["bin"]: r["weight"] for r in counts.withColumn("one", F.lit(1)).join(totals, "one").select("bin", weight.alias("weight")).collect()}
-    # a bin of the corpus always has a count; the rest is never looked up
-    return F.split(F.lit(",".join(repr(found.get(k, 0.0)) for k in range(bins))), ",").cast("array<double>")
+    """A constant array of `bins` log-likelihood ratios, NaN where the shape decides; the driver sees these `bins` counts only."""
+    raw, target = [0] * bins, [0] * bins
+    for r in written(bin_counts(docs, trusted, bins), "bin-counts").collect():
+        raw[r["bin"]], target[r["bin"]] = r["raw"], r["target"]
+    at_pairs, at_shapes = _parts(bins)
+    weights: list[str] = []
+    for start, end in ((0, at_pairs), (at_pairs, at_shapes), (at_shapes, bins)):
+        all_raw, all_target = sum(raw[start:end]), sum(target[start:end])
+        load = LEAST_LOAD * median(raw[start:end])
+        for k in range(start, end):
+            expected = raw[k] * all_target / all_raw if all_target else 0.0
+            if all_target and end < bins and (raw[k] < load or max(target[k], expected) < LEAST_COUNT):
+                weights.append("NaN")
+            else:
+                weights.append(repr(log((target[k] + smoothing) / (expected + smoothing))))
+    return F.split(F.lit(",".join(weights)), ",").cast("array<double>")
 
 
 def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
@@ -112,8 +162,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, bins: int = BINS, thresho
     keep: further columns to pass on, of names other than those made here.
     """
     weights = bin_weights(docs, trusted, bins)
-    measured = base_measures(docs, "doc_id", *keep).withColumn("grams", _grams(bins))
-    summed = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(weights, g))
+    own, shape = _split_grams(bins)
+    measured = base_measures(docs, "doc_id", *keep).withColumn("grams", own).withColumn("backoff", shape)
+    said = F.zip_with("grams", "backoff", lambda g, s: F.nanvl(F.get(weights, g), F.get(weights, s)))
+    summed = F.aggregate(said, F.lit(0.0), lambda a, w: a + w)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     score = F.when(F.size("grams") > 0, summed / F.size("grams")).otherwise(0.0)
     return (measured.withColumn("score", score).withColumn("base_failed", failed)

@@ -55,6 +55,19 @@ def test_quality_weights_equal_a_direct_count(spark, documents, labels):
     assert counted == {k: (raw[k], target[k]) for k in range(64) if raw[k]}
 
 
+def test_quality_looks_at_words(spark):
+    pick = random.Random(11)
+    prose, spam = ("the river ran past a small town where people met each morning to talk".split(), "buy cheap pills now casino bonus win cash click free offer today here".split())
+    text = lambda words: " ".join(pick.choice(words) for _ in range(40))
+    rows = [(d, text(spam if d % 3 == 0 else prose)) for d in range(300)] + [(1000, text(spam)), (1001, text(prose)), (1002, text(["unheard", "words"])), (None, text(prose))]
+    trusted = spark.createDataFrame([(d,) for d in range(300) if d % 3 == 1] + [(None,)], "doc_id long")
+    got = {r.doc_id: r for r in importance.quality_rules(spark.createDataFrame(rows, SCHEMA), trusted).collect()}
+    assert not any(got[d].kept for d in (*range(0, 300, 3), 1000))
+    assert got[1001].score > 0 > importance.THRESHOLD > got[1000].score
+    assert all(got[d].score > 0 for d in range(300) if d % 3)
+    assert abs(got[1002].score) < 0.1  # not found in the corpus: by shape alone
+
+
 def test_quality_of_nothing(spark, labels):
     empty = spark.createDataFrame([], SCHEMA)
     assert importance.quality_rules(empty, labels.limit(0)).collect() == []
