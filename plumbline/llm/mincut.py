@@ -11,7 +11,7 @@ cut unchanged; a maximum flow by shortest augmenting paths settles the rest.
 
 Defined results: null or empty html, and pages without content, give an empty text; broken markup is
 read on: unclosed elements end with the page or where a block of their kind begins, unclosed comments
-and scripts reach to the end; pages of any length are read whole; repeated rows are read one by one;
+and scripts reach to the end, quotes that are not a value's or not closed are plain signs of their tag; pages of any length are read whole; repeated rows are read one by one;
 further columns are ignored; an empty table gives an empty result.
 """
 
@@ -52,8 +52,10 @@ BLOCK_EVIDENCE = {"p": 1.0, "h1": 1.5, "h2": 0.8, "h3": 0.8, "h4": 0.8, "h5": 0.
 PER_CHARACTER, MOST_LENGTH, OFFSET, LINKS, SENTENCE, RIGHTS = 1 / 80, 2.0, -0.6, -4.0, 0.5, -3.0
 NEAR, NEAR_OTHER_PARENT, SIBLING = 0.8, 0.5, 0.4
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.IGNORECASE)
+# An attribute: name, then a value in quotes, which only open directly after "=" and only if they are closed, or without.
+_NAME, _VALUE = r"""[^\s/>][^\s/>=]*+""", r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|{_NAME}(?:{_VALUE})?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.DOTALL)
+_ATTRIBUTE = re.compile(rf"""({_NAME})({_VALUE})?+""")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -83,8 +85,10 @@ def _evidence(tag: str, attributes: str, up: Element) -> tuple[float, float, boo
         own = -1.0  # the head of an article, not of the page
     bad, good, hidden = min(up.bad, own), max(up.good, own), False
     if attributes and tag not in ("html", "body"):
-        for name, *values in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), "".join(values).lower()
+        for name, value in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), value.lstrip()[1:].strip().lower()
+            if value[:1] in ("'", '"') and value[-1:] == value[:1]:
+                value = value[1:-1]
             if name in ("class", "id"):
                 for token in value.split():
                     if token.startswith(("has-", "with-", "no-")):

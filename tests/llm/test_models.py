@@ -203,6 +203,17 @@ def test_extraction(spark):
     assert mincut.extract(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<p>One sentence.</p><a href="x"">link</a><p>Two sentences.</p><p>Three of them.</p>', ["One sentence.", "link", "Two sentences.", "Three of them."]),
+    ("<p title=it's>One sentence.</p><p>Two.</p>", ["One sentence.", "Two."]),
+    ('<img alt="5" tall"><p>One.</p><p title="a>b">Two.</p>', ["One.", "Two."]),
+    ('<p title="open>One.</p><p>Two.</p>', ["One.", "Two."]),
+    ("<p title = 'a>b' x=\"c>d\"y>One.</p><p a=b=\"c>Two.</p><p title='it\"s'>Three.</p>", ["One.", "Two.", "Three."]),
+])
+def test_odd_quotes_swallow_no_text(page, want):
+    assert [b.text for b in mincut.blocks(page)] == want
+
+
 def test_extraction_of_given_pages(spark):
     import html
     import re
