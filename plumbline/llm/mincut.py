@@ -6,6 +6,13 @@ node; its cost of being boilerplate is the capacity from the source, its cost of
 capacity to the sink. Edges of smoothness join neighbouring blocks and consecutive blocks of the same
 parent. The cut of least capacity separates content (source side) from boilerplate.
 
+Bad evidence holds for all that stands in an element, with exceptions, since wrappers of whole pages bear
+names of what they hold. A layout word of a class or id counts in full where it begins or ends its name
+('nav-links', 'cookie-notice'); elsewhere ('layout-sidebar-right', 'legal-text', 'header-and-content') it
+counts only if the element holds little text or mostly links. No word counts for an element with most of
+the page's text and few links. A nearer article, main or content element with much of the text of the
+element that bears the word, and few links, ends it. Evidence of tags and roles is not ended.
+
 Nodes whose terminal capacity exceeds all their edges are settled first, which leaves the minimum
 cut unchanged; a maximum flow by shortest augmenting paths settles the rest.
 
@@ -47,7 +54,12 @@ BAD_WORDS = frozenset(
     "respond reply replies share sharing social related recommended recommendations subscribe subscription newsletter signup login search widget widgets "
     "toolbar pagination pager copyright legal disclaimer skip teaser".split())
 GOOD_WORDS = frozenset("article content main post entry story text body page".split())
+#: Elements of these names end the bad words around them; names with these parts are of wrappers.
+CONTENT_WORDS = frozenset("article content main post entry story".split())
+CONNECTING, WRAPPING = frozenset("with has no without and or for".split()), frozenset("layout template theme".split())
 BAD, GOOD = -6.0, 1.5
+#: Characters that are little text, share of links that is much, shares of the page's and of a bad element's text that are much.
+LITTLE, MOSTLY_LINKS, OF_PAGE, OF_ELEMENT = 250, 0.4, 0.75, 0.5
 BLOCK_EVIDENCE = {"p": 1.0, "h1": 1.5, "h2": 0.8, "h3": 0.8, "h4": 0.8, "h5": 0.8, "h6": 0.8, "pre": 1.0, "blockquote": 1.0, "li": -0.2}
 PER_CHARACTER, MOST_LENGTH, OFFSET, LINKS, SENTENCE, RIGHTS = 1 / 80, 2.0, -0.6, -4.0, 0.5, -3.0
 NEAR, NEAR_OTHER_PARENT, SIBLING = 0.8, 0.5, 0.4
@@ -63,12 +75,24 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 class Element:
     tag: str
     number: int
-    bad: float
-    good: float
     link: bool
     dropped: bool
     inside: bool  # of an article or main part
+    up: Element | None = None
     block: Element | None = None  # the nearest block element, itself included
+    own_bad: float = 0.0  # by tag and role
+    own_good: float = 0.0
+    word: int = 0  # of a bad word: FIRM or LOOSE
+    content: bool = False
+    text: int = 0  # characters, and those in links, with all elements inside
+    links: int = 0
+    # with the elements around: evidence by tags and roles, the outermost element whose bad word holds, good evidence
+    bad: float = 0.0
+    bad_word: Element | None = None
+    good: float = 0.0
+
+
+FIRM, LOOSE = 2, 1
 
 
 @dataclass(slots=True)
@@ -78,39 +102,66 @@ class Block:
     parent: int
 
 
-def _evidence(tag: str, attributes: str, up: Element) -> tuple[float, float, bool]:
-    """(worst bad evidence, good evidence, hidden) of an element and those around it."""
-    own = TAG_EVIDENCE.get(tag, 0.0)
-    if tag == "header" and up.inside:
+def _name_word(token: str) -> int:
+    """FIRM, LOOSE, or 0 without a bad word."""
+    if token.startswith(("has-", "with-", "no-")):
+        return 0
+    parts = re.split(r"[-_:.]+|(?<=[a-z])(?=\d)", token)
+    if BAD_WORDS.isdisjoint(parts):
+        return 0
+    named = [x for x in parts if x and not x.isdigit()]
+    ends = BAD_WORDS.intersection((named[0], named[-1]))
+    return FIRM if ends and named[-1] not in GOOD_WORDS and (CONNECTING | WRAPPING).isdisjoint(named) else LOOSE
+
+
+def _read_evidence(e: Element, attributes: str) -> bool:
+    """Sets the own evidence of an element; whether it is hidden."""
+    own, hidden = TAG_EVIDENCE.get(e.tag, 0.0), False
+    if e.tag == "header" and e.up.inside:
         own = -1.0  # the head of an article, not of the page
-    bad, good, hidden = min(up.bad, own), max(up.good, own), False
-    if attributes and tag not in ("html", "body"):
+    e.own_bad, e.own_good, e.content = min(0.0, own), max(0.0, own), e.tag in ("article", "main")
+    if attributes and e.tag not in ("html", "body"):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.lstrip()[1:].strip().lower()
             if value[:1] in ("'", '"') and value[-1:] == value[:1]:
                 value = value[1:-1]
             if name in ("class", "id"):
                 for token in value.split():
-                    if token.startswith(("has-", "with-", "no-")):
-                        continue
+                    word = _name_word(token)
+                    e.word = max(e.word, word)
                     parts = re.split(r"[-_:.]+|(?<=[a-z])(?=\d)", token)
-                    if not BAD_WORDS.isdisjoint(parts):
-                        bad = min(bad, BAD)
-                    elif not GOOD_WORDS.isdisjoint(parts):
-                        good = max(good, GOOD)
+                    if not word and not token.startswith(("has-", "with-", "no-")) and not GOOD_WORDS.isdisjoint(parts):
+                        e.own_good = max(e.own_good, GOOD)
+                        e.content = e.content or not CONTENT_WORDS.isdisjoint(parts)
             elif name == "role":
                 found = ROLE_EVIDENCE.get(value.strip(), 0.0)
-                bad, good = min(bad, found), max(good, found)
+                e.own_bad, e.own_good, e.content = min(e.own_bad, found), max(e.own_good, found), e.content or found > 0
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
-    return bad, good, hidden
+    return hidden
+
+
+def _settle_evidence(elements: list[Element]) -> None:
+    """Text of every element, then the evidence that holds in it; elements come after those around them."""
+    for e in reversed(elements[1:]):
+        e.up.text += e.text
+        e.up.links += e.links
+    page = elements[0].text
+    for e in elements[1:]:
+        up, few_links = e.up, e.links <= MOSTLY_LINKS * e.text
+        e.bad, e.good, e.bad_word = min(up.bad, e.own_bad), max(up.good, e.own_good), up.bad_word
+        if e.bad_word and e.content and not e.word and few_links and e.text > LITTLE and e.text >= OF_ELEMENT * e.bad_word.text:
+            e.bad_word = None
+        if e.word and not (few_links and e.text > LITTLE and (e.word == LOOSE or e.text >= OF_PAGE * page)):
+            e.bad_word = e.bad_word or e
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
-    out: list[Block] = []
-    stack = [Element("", 0, 0.0, 0.0, False, False, False)]
+    stack = [Element("", 0, False, False, False)]
     stack[0].block = stack[0]
+    elements = [stack[0]]
+    found_blocks: list[tuple[str, float, Element]] = []
     places: dict[str, list[int]] = {}  # of the open elements of a tag
     pieces: list[str] = []
     linked = [0]
@@ -121,15 +172,18 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
                 own = stack[-1].block
-                out.append(Block(text, _score(text, min(1.0, linked[0] / len(text)), own), own.number))
+                found_blocks.append((text, min(1.0, linked[0] / len(text)), own))
             pieces.clear()
         linked[0] = 0
 
     def say(text: str) -> None:
         if text and not stack[-1].dropped:
             pieces.append(text)
+            length = len(text.strip())
+            stack[-1].text += length
             if stack[-1].link:
-                linked[0] += len(text.strip())
+                linked[0] += length
+                stack[-1].links += length
 
     def close(k: int) -> None:
         if any(e.tag in BLOCK_TAGS for e in stack[k:]):
@@ -174,8 +228,10 @@ def blocks(page: str) -> list[Block]:
             continue
         up = stack[-1]
         number += 1
-        bad, good, hidden = _evidence(tag, found[3], up)
-        stack.append(Element(tag, number, bad, good, up.link or tag == "a", up.dropped or hidden or tag in DROPPED_TAGS, up.inside or tag in ("article", "main"), up.block))
+        own = Element(tag, number, up.link or tag == "a", up.dropped or tag in DROPPED_TAGS, up.inside or tag in ("article", "main"), up, up.block)
+        own.dropped = _read_evidence(own, found[3]) or own.dropped
+        stack.append(own)
+        elements.append(own)
         if tag in BLOCK_TAGS:
             stack[-1].block = stack[-1]
         places.setdefault(tag, []).append(len(stack) - 1)
@@ -185,12 +241,13 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else n
     flush()
-    return out
+    _settle_evidence(elements)
+    return [Block(text, _score(text, links, own), own.number) for text, links, own in found_blocks]
 
 
 def _score(text: str, links: float, own: Element) -> float:
     """Evidence that a block is content."""
-    score = own.bad + own.good + BLOCK_EVIDENCE.get(own.tag, 0.0) + OFFSET + min(MOST_LENGTH, len(text) * PER_CHARACTER) + LINKS * links * links
+    score = min(own.bad, BAD if own.bad_word else 0.0) + own.good + BLOCK_EVIDENCE.get(own.tag, 0.0) + OFFSET + min(MOST_LENGTH, len(text) * PER_CHARACTER) + LINKS * links * links
     if text[-1] in ".!?…:;\"»”":
         score += SENTENCE
     if "©" in text and not own.inside:

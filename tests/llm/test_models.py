@@ -214,6 +214,23 @@ def test_odd_quotes_swallow_no_text(page, want):
     assert [b.text for b in mincut.blocks(page)] == want
 
 
+@pytest.mark.parametrize("wrapper", ["class='layout-sidebar-right'", "class='page-with-sidebar'", "class='legal-text'", "id='header-and-content'", "class='sidebar'", "class='widget'"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrappers_do_not_lose_the_article(wrapper, tag):
+    text = "The town council met on Monday and spoke about the new bridge over the river for two hours."
+    inner = f"<{tag}>" + f"<p>{text}</p>" * 6 + f"</{tag}>"
+    side = "<ul class='nav-links'><li><a href=x>Home page</a><li><a href=y>All news</a></ul><div class='cookie-notice'>We use cookies to improve things a lot.</div>"
+    got = mincut.main_text(f"<body><div {wrapper}>{side}{inner}<div class='footer-legal-text'>Terms and prices may change.</div></div></body>")[0]
+    assert got == " ".join([text] * 6)
+
+
+def test_parts_named_as_layout_stay_out():
+    text = "The town council met on Monday and spoke about the new bridge over the river for two hours."
+    long = "I did enjoy this a lot and would like to read more of it soon, thank you. " * 4
+    page = f"<body><article>{f'<p>{text}</p>' * 9}</article><div id='comments'>{f'<article><p>{long}</p></article>' * 3}</div><div class='sidebar'><p>{long}</p></div></body>"
+    assert mincut.main_text(page)[0] == " ".join([text] * 9)
+
+
 def test_extraction_of_given_pages(spark):
     import html
     import re
