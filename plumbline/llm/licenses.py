@@ -1,7 +1,7 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 `rules()` derives several hundred regular expressions from families (name, identifiers, versions,
-addresses) and forms of mention. A rule runs on a text only if all of its keywords occur in it. Of
+addresses) by a template for each form of mention. A rule runs on a text only if all of its keywords occur in it. Of
 the hits, in rule order (priority, then length, then position), one is suppressed if its interval lies
 within that of a hit already accepted; what stays names the labels. The four base phrases are found
 apart from the rules, as places of consecutive words, and their labels always stay.
@@ -75,6 +75,11 @@ for _short, _long in CC_TERMS.items():
     FAMILIES.append((_id, _id.replace("-", " "), "cc", (_id,), CC_VERSIONS, ""))
 FAMILIES.append(("cc0", "creative commons zero", "creative commons", (), ("1.0",), "creativecommons.org/publicdomain/zero"))
 FAMILIES.append(("cc0", "cc ?0", "cc", ("cc0",), ("1.0",), ""))
+#: Identifiers that also name other things with versions: a short mention counts with "licen" within so many bytes.
+AMBIGUOUS = frozenset(("apache", "python"))
+CONTEXT = 40
+#: Between an identifier and its version: at most one sign, or white space.
+_SEPARATOR = r"(?:[-_/]|,?\s+\(?)?"
 _WORD = rb"0-9a-z\x80-\xff"
 _GAP = np.ones(256, dtype=bool)
 _GAP[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -89,10 +94,11 @@ class Rule:
     confidence: float
     keywords: tuple[bytes, ...]
     pattern: re.Pattern
+    in_context: bool = False
 
 
 def _compiled(text: str) -> re.Pattern:
-    """A blank: any run of signs that are no word; the ends must not touch a word."""
+    """A blank: any run of signs that are no word, also in " ?"; never write one inside brackets. The ends must not touch a word."""
     body = text.encode().replace(b" ?", b"[^" + _WORD + b"]*").replace(b" ", b"[^" + _WORD + b"]+")
     return re.compile(b"(?<![" + _WORD + b"])" + body + b"(?![" + _WORD + b"])")
 
@@ -102,8 +108,8 @@ def rules() -> tuple[Rule, ...]:
     """In order: address and identifier, notice with version, notice, name with version, name."""
     found: list[Rule] = []
 
-    def add(label: str, form: str, priority: int, confidence: float, keywords: tuple[str, ...], pattern: str) -> None:
-        found.append(Rule(f"{label}:{form}:{len(found)}", label, priority, confidence, tuple(w.encode() for k in keywords for w in k.split()), _compiled(pattern)))
+    def add(label: str, form: str, priority: int, confidence: float, keywords: tuple[str, ...], pattern: str, in_context: bool = False) -> None:
+        found.append(Rule(f"{label}:{form}:{len(found)}", label, priority, confidence, tuple(w.encode() for k in keywords for w in k.split()), _compiled(pattern), in_context))
 
     for label, name, keyword, identifiers, versions, address in FAMILIES:
         number = lambda v: re.escape(v) + ("" if "." in v else r"(?:\.0)?")
@@ -114,7 +120,10 @@ def rules() -> tuple[Rule, ...]:
         for v in versions:
             for i in identifiers:
                 add(f"{label}-{v}", "identifier", 1, 1.0, ("spdx", i), rf"spdx licen[cs]e identifier {re.escape(i)}-{number(v)}(?:-only|-or-later|\+)?")
-                add(f"{label}-{v}", "short", 4, 0.7, (i,), rf"{re.escape(i)}[-_ ]?v?{number(v)}(?:-only|-or-later|\+)?")
+                after = rf"{_SEPARATOR}(?:v(?:ersion)?\.?\s*)?{number(v)}(?!\.[0-9])(?:-only|-or-later|\+)?"
+                add(f"{label}-{v}", "short", 4, 0.7, (i, *(("licen",) if i in AMBIGUOUS else ())), re.escape(i) + after, i in AMBIGUOUS)
+                if i == "apache":  # as SPDX writes it
+                    add(f"{label}-{v}", "short", 4, 0.7, (f"{i}-{v}",), rf"{re.escape(f'{i}-{v}')}(?!\.[0-9])")
             add(f"{label}-{v}", "notice", 2, 1.0, ("under", keyword, *said), rf"{under}{name},? ?(?:v|version|v\.)? ?{number(v)}")
             add(f"{label}-{v}", "name", 3, 0.9, (keyword, *said), rf"{name},? ?(?:international|\()? ?(?:v|version|v\.)? ?{number(v)}")
         for i in identifiers:
@@ -147,7 +156,8 @@ def detect(text: bytes) -> list[tuple[int, int, Rule]]:
     if not any(k in text for k in stems):
         return []
     present = {k for k in every if k in text}
-    hits = [(m.start(), m.end(), r) for r in rules() if present.issuperset(r.keywords) for m in r.pattern.finditer(text)]
+    hits = [(m.start(), m.end(), r) for r in rules() if present.issuperset(r.keywords) for m in r.pattern.finditer(text)
+            if not r.in_context or b"licen" in text[max(0, m.start() - CONTEXT) : m.end() + CONTEXT]]
     hits.sort(key=lambda h: (h[2].priority, h[0] - h[1], h[0], h[2].label))
     kept: list[tuple[int, int, Rule]] = []
     for start, end, rule in hits:

@@ -138,3 +138,12 @@ def test_license_scan(spark):
     assert got[5].labels == ["cc-by", "cc-by-nc-4.0"] and got[2].labels == ["gpl", "gpl-3", "lgpl-2.1"]
     assert len(licenses.rules()) > 300
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("text, label", [
+    ("gpl 3", "gpl-3"), ("GPL v3", "gpl-3"), ("gpl3", "gpl-3"), ("gpl-3.0-or-later", "gpl-3"), ("gpl, version 2", "gpl-2"), ("mpl 2.0", "mpl-2.0"), ("lgpl v2.1", "lgpl-2.1"),
+    ("agpl 3", "agpl-3"), ("cc-by-sa 4.0", "cc-by-sa-4.0"), ("licensed under apache 2.0", "apache-2.0"), ("Apache-2.0", "apache-2.0"), ("apache v2.0 license", "apache-2.0"),
+    ("gplfoo3", None), ("gpl-compatible-3", None), ("gpl 3.1", None), ("apache_httpd-2.0", None), ("apache_httpd-2.0 license", None), ("the apache 2.0 server", None), ("python 2.0", None)])
+def test_short_license_mentions(text, label):
+    found = [r.label for _, _, r in licenses.detect(text.lower().encode())]
+    assert found == ([label] if label else [])
