@@ -14,7 +14,7 @@ The base score is that of a smoothed word distribution. For either lookup, the e
 up at least 1 / BOUND of all occurrences (at most BOUND) are broadcast; rarer ones are joined, and
 no key of that join can be hot.
 
-Defined results: a null text is empty: one token (the end), score 0; an empty table gives an empty
+Defined results: a null text is empty: one token (the end), score 0, no bits_per_byte; an empty table gives an empty
 result; without training texts every estimate is one half; repeated rows are scored one by one (each
 counts in training); a null doc_id is held out; further columns are ignored. Words and windows are
 compared by 64-bit hashes and exact bytes respectively.
@@ -168,7 +168,7 @@ def _rare(keys: np.ndarray, text: np.ndarray, n: int) -> tuple[pa.Array, pa.Arra
     return tuple(pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (keys[new].view(np.int64), counts))
 
 
-_PASS = "row long, doc_id long, held_out boolean, n_words long, known long, base double, score double, words array<long>, word_counts array<long>, grams array<long>, gram_counts array<long>"
+_PASS = "row long, doc_id long, held_out boolean, n_words long, known long, base double, score double, words array<long>, word_counts array<long>, grams array<long>, gram_counts array<long>, n_bytes long"
 
 
 def _partial_scores(docs: DataFrame, frequent, depth: int) -> DataFrame:
@@ -190,16 +190,17 @@ def _partial_scores(docs: DataFrame, frequent, depth: int) -> DataFrame:
                     cells += [sums_by(values, ends), sums_by(seen.astype(np.int64), ends), *_rare(keys[~seen], text[~seen], chunk.n)]
                 part = batch.slice(chunk.first, chunk.n)
                 yield pa.record_batch([pa.array(np.arange(row, row + chunk.n)), part.column(0), part.column(2), pa.array(np.diff(first), pa.int64()), pa.array(cells[1]), pa.array(cells[0]),
-                                       pa.array(cells[4]), cells[2], cells[3], cells[6], cells[7]], names=[f.split()[0] for f in _PASS.split(", ")])
+                                       pa.array(cells[4]), cells[2], cells[3], cells[6], cells[7], pa.array(np.diff(chunk.at), pa.int64())], names=[f.split()[0] for f in _PASS.split(", ")])
                 row += chunk.n
 
     return docs.mapInArrow(run, _PASS)
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, word_bound: int = WORD_BOUND, gram_bound: int = GRAM_BOUND) -> DataFrame:
-    """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes)` for every row of `docs(doc_id, text)`.
+    """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)` for every row of `docs(doc_id, text)`.
 
-    Texts whose crc32(doc_id) is divisible by `folds` are held out of training. Scores are log10.
+    Texts whose crc32(doc_id) is divisible by `folds` are held out of training. Scores are log10. n_bytes:
+    of the text in UTF-8; bits_per_byte: code length of the text by its score, null for an empty text.
     """
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     source = docs.select("doc_id", "text", (fold == 0).alias("held_out"))
@@ -232,4 +233,5 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, word_bo
         "doc_id", "held_out", n_tokens.alias("n_tokens"), (F.col("known") + zero("known_more") + int(n_texts > 0)).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("base_more") + end - n_tokens * per_token).alias("base_score"),
-        (F.col("score") + zero("score_more")).alias("score"))
+        (F.col("score") + zero("score_more")).alias("score"), "n_bytes").withColumn(
+        "bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") / float(np.log10(2)) / F.col("n_bytes")))

@@ -147,3 +147,11 @@ def test_license_scan(spark):
 def test_short_license_mentions(text, label):
     found = [r.label for _, _, r in licenses.detect(text.lower().encode())]
     assert found == ([label] if label else [])
+
+
+def test_context_tree_gives_code_lengths(spark):
+    rows = [(1, "abc abc abc"), (2, "É à"), (3, ""), (4, None)]
+    got = {r.doc_id: r for r in ctw.score_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[d].n_bytes for d in (1, 2, 3, 4)] == [11, 5, 0, 0]
+    assert [got[d].bits_per_byte for d in (3, 4)] == [None, None]
+    assert all(got[d].bits_per_byte * got[d].n_bytes == pytest.approx(-got[d].score / 0.30102999566398120) for d in (1, 2))
