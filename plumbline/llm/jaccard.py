@@ -19,7 +19,8 @@ Hashes have 64 bits. No list of candidates is cut: a long list of a shingle that
 frequent joins its sets to its least one.
 
 Defined results: null texts are empty; rows that share a doc_id and differ in text are separate sets
-under one id; an empty table gives an empty result; further columns are ignored.
+under one id; rows with a null doc_id are documents too, and link others, but name a component only if
+all of its rows have none; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -347,7 +348,7 @@ def _block_pairs(docs: DataFrame, members: DataFrame, size: int, num: int, den:
              .union(pairs.filter("blk1 < blk2").select("root", F.col("blk2"), F.col("blk1"), F.col("blk2"), F.lit(1))))
     needed = placed.join(tasks, ["root", "blk"]).select("rep", "cid", "root", "left", "right", "side", "n", "copies")
     sets = _sets_of(docs, members, size)
-    return (sets.join(needed, (sets["doc_id"] == needed["rep"]) & (sets["cid"] == needed["cid"]))
+    return (sets.join(needed, sets["doc_id"].eqNullSafe(needed["rep"]) & (sets["cid"] == needed["cid"]))
             .select("root", "left", "right", "side", needed["cid"], "n", "copies", "items")
             .repartition("root", "left", "right").sortWithinPartitions("root", "left", "right", "side"))
 

@@ -155,3 +155,11 @@ def test_context_tree_gives_code_lengths(spark):
     assert [got[d].n_bytes for d in (1, 2, 3, 4)] == [11, 5, 0, 0]
     assert [got[d].bits_per_byte for d in (3, 4)] == [None, None]
     assert all(got[d].bits_per_byte * got[d].n_bytes == pytest.approx(-got[d].score / 0.30102999566398120) for d in (1, 2))
+
+
+def test_jaccard_links_through_null_ids(spark):
+    words = [f"w{k}" for k in range(100)]
+    # the first and the last are linked only through the middle one, which has no doc_id
+    rows = [(1, " ".join(words)), (None, " ".join([*words[:91], *(f"x{k}" for k in range(9))])), (2, " ".join([*words[9:91], *(f"x{k}" for k in range(9))]))]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (1, 1), None: (1, 2), 2: (1, 1)}
