@@ -104,3 +104,86 @@ def license_places(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     found = [(i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     return len(w), sorted(i for i, _ in found), ",".join(sorted({x for _, x in found}))
+
+
+def damage(rows):
+    """[(conv_id, turn, role, text)] after the damage, repeats adjacent."""
+    out = []
+    for conv, turn, role, text in rows:
+        fate = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = (" " if role is None else role), (" " if text is None else text)
+        if fate == 1:
+            text = ""
+        elif fate == 2:
+            text = re.sub("[.!?]", "", text)
+        elif fate == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * {0: 0, 3: 2}.get(fate, 1)
+    return out
+
+
+def repair(rows):
+    """conv_id -> (gaps, blank, duplicate, truncated, illegal, cost, audit, [(role, text)]) by suffix recursion."""
+    from functools import lru_cache
+
+    groups = defaultdict(list)
+    for conv, turn, role, text in rows:
+        groups[conv].append((turn, role, text))
+    out = {}
+    for conv, turns in groups.items():
+        # equal turns: by role, then text; callers avoid ties that a digest orders otherwise
+        turns.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        seen, faults = set(), []
+        for _, role, text in turns:
+            end = WORDS.findall(text)
+            if not end:
+                faults.append("blank")
+            elif (role, text) in seen:
+                faults.append("duplicate")
+            else:
+                faults.append("" if end[-1][-1] in ".!?" else "truncated")
+            seen.add((role, text))
+
+        @lru_cache(None)
+        def best(i, shape):
+            """Lightest (cost, audit, turns) from row i on, `shape` being the initials so far ('' , 's', 'u', 'a': the last)."""
+            found = []
+            if i == len(turns):
+                if shape in ("", "a"):
+                    return 0, "", ()
+                c, a, t = best(i, "a" if shape == "u" else "u")
+                return c + 2, "I" + a, (("assistant" if shape == "u" else "user", ""), *t)
+            _, role, text = turns[i]
+            c, a, t = best(i + 1, shape)
+            found.append((c + 3, "D" + a, t))
+            if faults[i] not in ("blank", "duplicate"):
+                extra = int(faults[i] == "truncated")
+                new, name = ("a", "assistant") if shape == "u" else ("u", "user")
+                c, a, t = best(i + 1, new)
+                found.append((c + 2 + extra, "R" + a, ((name, text), *t)))
+                if (shape, role[:1]) in {("", "s"), ("", "u"), ("s", "u"), ("u", "a"), ("a", "u")}:
+                    c, a, t = best(i + 1, role[:1])
+                    found.append((c + extra, "K" + a, ((role, text), *t)))
+                # one or two inserts before this row; more never help
+                c2 = []
+                step, shape2 = (), shape
+                for k in (1, 2):
+                    nxt, nm = ("a", "assistant") if shape2 == "u" else ("u", "user")
+                    step, shape2 = (*step, (nm, "")), nxt
+                    if (shape2, role[:1]) in {("u", "a"), ("a", "u")}:
+                        c, a, t = best(i + 1, role[:1])
+                        c2.append((c + 2 * k + extra, "I" * k + "K" + a, (*step, (role, text), *t)))
+                    nxt, nm = ("a", "assistant") if shape2 == "u" else ("u", "user")
+                    c, a, t = best(i + 1, nxt)
+                    c2.append((c + 2 * k + 2 + extra, "I" * k + "R" + a, (*step, (nm, text), *t)))
+                    c, a, t = best(i + 1, shape2)
+                    c2.append((c + 2 * k + 3, "I" * k + "D" + a, (*step, *t)))
+                found += c2
+            return min(found)
+
+        known = [t for t, _, _ in turns if t is not None]
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        out[conv] = gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, *best(0, "")
+        best.cache_clear()
+    return out
