@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact, ftrl, importance, jaccard, langid, licenses, mincut, mixing, pieces, repair
+from . import align, ctw, exact, ftrl, importance, jaccard, langid, licenses, mincut, mixing, pieces, repair
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,12 +66,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_table(spark, sf_dir, "documents"))
 
 
+def op12_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.cross_alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_context_tree, op2_jaccard_join, op3_html_extraction, op4_licenses, op5_quality_classifier, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing, op10_language_id, op13_conversation_repair)
+    found = (op1_context_tree, op2_jaccard_join, op3_html_extraction, op4_licenses, op5_quality_classifier, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing, op10_language_id, op12_cross_alignment, op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 

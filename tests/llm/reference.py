@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -187,3 +188,39 @@ def repair(rows):
         out[conv] = gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, *best(0, "")
         best.cache_clear()
     return out
+
+
+def spelled(text, byte_tokenizer, piece_tokenizer):
+    """Tokens (id, bytes) of both sides; empty lists where they do not spell the text."""
+    if not text:
+        return [], []
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    back = {chr(b): b for b in plain}
+    for k, b in enumerate(b for b in range(256) if b not in plain):
+        back[chr(256 + k)] = b
+    e = byte_tokenizer.encode(" " + text, add_special_tokens=False)
+    a = [(i, bytes(back[c] for c in t)) for i, t in zip(e.ids, e.tokens)]
+    b = [(i, bytes([int(p[3:5], 16)]) if len(p) == 6 and p.startswith("<0x") else p.replace("▁", " ").encode())
+         for i, p in ((i, piece_tokenizer.id_to_piece(i)) for i in piece_tokenizer.encode(text))]
+    want = (" " + text).encode()
+    return (a, b) if b"".join(t for _, t in a) == want == b"".join(t for _, t in b) else ([], [])
+
+
+def alignments(rows, byte_tokenizer, piece_tokenizer):
+    """[(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups)] byte by byte."""
+    found = []
+    for d, text in rows:
+        a, b = spelled(text, byte_tokenizer, piece_tokenizer)
+        at_a, at_b = ([k for k, (_, t) in enumerate(side) for _ in t] for side in (a, b))
+        links = sorted(set(zip(at_a, at_b)))
+        ends = set(itertools.accumulate(len(t) for _, t in a)) & set(itertools.accumulate(len(t) for _, t in b))
+        groups, start = [], 0
+        for end in sorted(ends):
+            groups.append("|".join(",".join(str(side[k][0]) for k in sorted(set(at[start:end]))) for side, at in ((a, at_a), (b, at_b))))
+            start = end
+        found.append((d, a, b, groups, [(a[i][0], b[j][0]) for i, j in links]))
+    counts = Counter(p for *_, links in found for p in links)
+    best = Counter()
+    for (_, j), n in counts.items():
+        best[j] = max(best[j], n)
+    return [(d, len(a), len(b), len(g), len(links), sum(counts[p] == best[p[1]] for p in links), sum(counts[p] for p in links), ";".join(g)) for d, a, b, g, links in found]
