@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ctw, exact, ftrl, importance, jaccard, langid, licenses, mincut, mixing, pieces, repair
+from . import align, ctw, exact, ftrl, importance, jaccard, langid, licenses, mincut, mixing, pieces, repair, skipchain
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = skipchain.personal_data(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    rank = lambda s: F.array_position(F.array(*(F.lit(k) for k in skipchain.KINDS)), s["kind"])
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return found.select("doc_id", *(count(k) for k in ("email", "ip", "card", "phone")), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
+
+
 def op12_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,7 +86,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_context_tree, op2_jaccard_join, op3_html_extraction, op4_licenses, op5_quality_classifier, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing, op10_language_id, op12_cross_alignment, op13_conversation_repair)
+    found = (op1_context_tree, op2_jaccard_join, op3_html_extraction, op4_licenses, op5_quality_classifier, op6_sentencepiece, op7_exact_dedup, op8_quality_rules, op9_mixing, op10_language_id, op11_personal_data, op12_cross_alignment, op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 
