@@ -10,13 +10,19 @@ from __future__ import annotations
 import re
 
 from plumbline import policy as P
-from plumbline.functions.patterns import (
+from plumbline.checks.sqlpatterns import (
     AFTER_SEMICOLON, BRACKET_GROUP, CALL_GROUP, CLASS_MARGIN, CONSTANT_HEAD, IDENT, ONE_LINE_BLOCK, PARAM_DOC, PLAIN, UPPER_NAME,
 )
-from plumbline.functions.words import SEPARATORS, WORD
-from plumbline.operators.scopes import LANGUAGE_FIXED, PANDAS_FIXED, VARIABLE_FIXED
 
 POLICY = P.DEFAULT_POLICY
+SEPARATORS = "_:.-,;*\\/"
+WORD = r"[\p{L}\p{N}]+(?:'\p{L}+)*"
+#: Fixed files of the scopes; true: below the folder named as the repository.
+_CODE = [("utils/utils.py", True), ("app.py", True), ("fields.py", True), ("constants.py", True)]
+_TESTS = [("tests/utils/test_utils.py", False), ("tests/test_app.py", False)]
+LANGUAGE_FIXED = [*_CODE, ("tests/transformations/test_transformations.py", False), *_TESTS]
+VARIABLE_FIXED = [*_CODE, *_TESTS]
+PANDAS_FIXED = _CODE[:1]
 NL = "chr(10)"
 
 
@@ -407,15 +413,29 @@ def one_statement_a_line(text: str) -> str:
     return sub(apart, ONE_LINE_BLOCK, r"\1\2")
 
 
-CTE["nocalls"] = f"SELECT {FK}, {one_statement_a_line(shrink('code', CALL_GROUP, ''))} AS code FROM masked"
+CTE["indented_lines"] = f"""
+SELECT {FK}, n, line, length(line) - length(ltrim(line, ' ' || chr(9))) AS indent FROM (
+  SELECT {FK}, unnest(ls) AS line, generate_subscripts(ls, 1) AS n
+  FROM (SELECT {FK}, string_split({shrink('code', CALL_GROUP, '')}, {NL}) AS ls FROM masked))
+WHERE {strip('line')} <> ''"""
+# a line lies in the blocks of all earlier lines of less indent that no line of as little indent has ended
+CTE["line_ends"] = f"""
+SELECT b.repo, b.branch, b.path, b.n, b.indent, min(c.n) AS ends FROM indented_lines b
+LEFT JOIN indented_lines c ON c.repo = b.repo AND c.branch = b.branch AND c.path = b.path AND c.n > b.n AND c.indent <= b.indent GROUP BY ALL"""
+CTE["line_depths"] = f"""
+SELECT a.repo, a.branch, a.path, a.n, any_value(a.line) AS line, 1 + count(b.n) AS depth FROM indented_lines a
+LEFT JOIN line_ends b ON a.repo = b.repo AND a.branch = b.branch AND a.path = b.path
+  AND b.n < a.n AND b.indent < a.indent AND (b.ends IS NULL OR b.ends > a.n)
+GROUP BY a.repo, a.branch, a.path, a.n"""
 CTE["targets"] = f"""
-SELECT {FK}, i, j, lower(name) AS name FROM (
-  SELECT {FK}, i, unnest(names) AS raw, generate_subscripts(names, 1) AS j, {strip('raw')} AS name FROM (
-    SELECT {FK}, i, string_split(g, ',') AS names FROM (
-      SELECT {FK}, unnest(gs) AS g, generate_subscripts(gs, 1) AS i FROM (SELECT {FK}, {find_all('code', PLAIN.assignment, 1)} AS gs FROM nocalls))))
+SELECT {FK}, depth, n, i, j, lower(name) AS name FROM (
+  SELECT {FK}, depth, n, i, unnest(names) AS raw, generate_subscripts(names, 1) AS j, {strip('raw')} AS name FROM (
+    SELECT {FK}, depth, n, i, string_split(g, ',') AS names FROM (
+      SELECT {FK}, depth, n, unnest(gs) AS g, generate_subscripts(gs, 1) AS i FROM (
+        SELECT {FK}, n, depth + CAST({has('line', ONE_LINE_BLOCK)} AS INT) AS depth, {find_all(one_statement_a_line('line'), PLAIN.assignment, 1)} AS gs FROM line_depths))))
 WHERE {has('name', f'^{IDENT}$')} AND NOT {has('name', '^[0-9]')}"""
 CTE["q_extract_assignments"] = (
-    f"SELECT {FK}, CAST(row_number() OVER (PARTITION BY repo, branch, path ORDER BY i, j) - 1 AS INT) AS pos, name FROM targets"
+    f"SELECT {FK}, CAST(row_number() OVER (PARTITION BY repo, branch, path ORDER BY depth, n, i, j) - 1 AS INT) AS pos, name FROM targets"
 )
 CTE["param_names"] = rf"""
 SELECT {FK}, fn_pos, fn_name, indent, docstring, list_filter(CASE WHEN coalesce(list_position(pre, '/'), 0) > 0

@@ -1,19 +1,17 @@
-"""Facts about one Python file as array-valued column expressions."""
+"""Literals, docstrings and values of Python code as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.patterns import (
-    AFTER_SEMICOLON, BLOCK_CHAR, BRACKET_GROUP, CALL_GROUP, CLASS_MARGIN, CONSTANT_HEAD, GROUP_CHAR, IDENT, ONE_LINE_BLOCK,
-    PARAM_DOC, SPARK, UPPER_NAME,
-)
+from plumbline.functions.patterns import BRACKET_GROUP, LEXEME, PARAM_DOC
 from plumbline.functions.text import let, strip
 
+
 def mask_literals(code: Column) -> Column:
     """Drop comments and shrink every string literal to one quote character."""
-    return F.regexp_replace(code, F.lit(SPARK.lexeme), F.lit("$1$2$3$4"))
+    return F.regexp_replace(code, F.lit(LEXEME), F.lit("$1$2$3$4"))
 
 
 def nesting(text: Column) -> Column:
@@ -60,156 +58,10 @@ def clean_docstring(doc: Column) -> Column:
     return F.regexp_replace(F.rtrim(text), F.lit(r"^\s+|\s+$"), F.lit(""))
 
 
-def function_facts(code: Column) -> Column:
-    """array<struct<indent, name, params, docstring>>, in the order of the text."""
-    heads = F.filter(
-        F.regexp_extract_all(code, F.lit(SPARK.function_or_lexeme), F.lit(0)),
-        lambda token: token.rlike(SPARK.block_header),
-    )
-
-    def facts(token: Column) -> Column:
-        literal = F.regexp_extract(token, SPARK.function, 4)
-        return F.struct(
-            F.length(F.regexp_extract(token, SPARK.block_header, 1)).alias("indent"),
-            F.regexp_extract(token, SPARK.block_header, 2).alias("name"),
-            F.regexp_extract(token, SPARK.header, 3).alias("params"),
-            clean_docstring(let(literal, unquoted)).alias("docstring"),
-        )
-
-    return F.transform(heads, facts)
-
-
-def function_blocks(masked: Column) -> Column:
-    """Masked code cut at function and class headers; only function blocks kept."""
-    marked = F.regexp_replace(masked, F.lit(SPARK.block_start), F.lit(BLOCK_CHAR + "$1"))
-    return F.filter(F.split(marked, BLOCK_CHAR, -1), lambda block: block.rlike(SPARK.block_header))
-
-
-def function_names(masked: Column) -> Column:
-    """array<struct<indent, pos, name>> of masked code, without parameters and docstrings."""
-    blocks = function_blocks(masked)
-    return F.transform(
-        blocks,
-        lambda block, i: F.struct(
-            F.length(F.regexp_extract(block, SPARK.block_header, 1)).alias("indent"),
-            i.alias("pos"),
-            F.regexp_extract(block, SPARK.block_header, 2).alias("name"),
-        ),
-    )
-
-
-def positional_params(params: Column) -> Column:
-    """Positional parameter names of a raw parameter list, without self and cls."""
-    flat = shrink_groups(mask_literals(params), BRACKET_GROUP, "")
-    listed = F.transform(
-        F.split(flat, ",", -1),
-        lambda part: F.regexp_extract(part, rf"^\s*([*/]|{IDENT})", 1),
-    )
-
-    def before_star(names: Column) -> Column:
-        star = F.array_position(names, "*").cast("int")
-        return F.when(star > 0, F.slice(names, F.lit(1), star - 1)).otherwise(names)
-
-    def after_slash(names: Column) -> Column:
-        slash = F.array_position(names, "/").cast("int")
-        return F.slice(names, slash + 1, F.greatest(F.size(names) - slash, F.lit(0)))
-
-    kept = let(let(listed, before_star), after_slash)
-    return F.filter(kept, lambda name: ~name.isin("", "self", "cls"))
-
-
 def documented_params(doc: Column) -> Column:
     return F.regexp_extract_all(doc, F.lit(PARAM_DOC), F.lit(1))
 
 
-def target_names(targets: Column) -> Column:
-    """Names in an array of comma-separated target lists."""
-    return F.filter(
-        F.flatten(F.transform(targets, lambda group: F.transform(F.split(group, ",", -1), strip))),
-        lambda name: name.rlike(rf"^{IDENT}$") & ~name.rlike("^[0-9]"),
-    )
-
-
-def without_calls(masked: Column) -> Column:
-    """Masked code without parenthesised text, so keyword arguments are not assignments."""
-    return shrink_groups(masked, CALL_GROUP, "")
-
-
-def assignment_targets(masked: Column) -> Column:
-    """Plain-assignment targets of masked code, lower-cased, in text order."""
-    groups = F.regexp_extract_all(one_statement_a_line(without_calls(masked)), F.lit(SPARK.assignment), F.lit(1))
-    return F.transform(target_names(groups), F.lower)
-
-
-def one_statement_a_line(flat: Column) -> Column:
-    """Statements after a semicolon or the colon of a one-line block on lines of their own indent.
-
-    What follows a semicolon gets an indent below any other, so that it stays in its block.
-    """
-    apart = F.regexp_replace(flat, F.lit(r";[ \t]*"), F.lit("\n" + " " * AFTER_SEMICOLON))
-    return F.regexp_replace(apart, F.lit(ONE_LINE_BLOCK), F.lit("$1$2"))
-
-
-def local_variables(masked: Column) -> Column:
-    """array<struct<indent, pos, name, variables>>: single-name targets per function body.
-
-    A body reaches to the first line whose indent is not above the function's, nested functions
-    included; their variables count for the inner and the outer function.
-    """
-    flat = one_statement_a_line(shrink_groups(masked, BRACKET_GROUP, GROUP_CHAR))
-    marked = F.regexp_replace(flat, F.lit(SPARK.block_start), F.lit(BLOCK_CHAR + "$1"))
-    indent = lambda block: F.length(F.regexp_extract(block, r"^([ \t]*)", 1))
-
-    def facts(bs: Column, indents: Column, k: Column, i: Column) -> Column:
-        block = F.get(bs, k)
-        margin = F.get(indents, k)
-        later = F.when(k + 1 < F.size(bs), F.sequence(k + 1, F.size(bs) - 1)).otherwise(F.array().cast("array<int>"))
-        end = F.coalesce(F.array_min(F.filter(later, lambda x: F.get(indents, x) <= margin)), F.size(bs))
-        text = F.array_join(F.slice(bs, k + 1, end - k), "")
-        ends = F.concat(F.lit("\n[ \t]{0,"), margin.cast("string"), F.lit("}(?=[^ \t\n])"))
-        lines = F.regexp_extract_all(F.get(F.split(text, ends, 2), F.lit(0)), F.lit(rf"(?m:^)([ \t]*{IDENT}[ \t]*)=[^=]"), F.lit(1))
-        names = F.filter(F.transform(lines, strip), lambda name: ~name.rlike("^[0-9]"))
-        return F.struct(
-            margin.alias("indent"),
-            i.alias("pos"),
-            F.regexp_extract(block, SPARK.block_header, 2).alias("name"),
-            F.array_sort(F.array_distinct(names)).alias("variables"),
-        )
-
-    def of_blocks(bs: Column) -> Column:
-        heads = F.filter(F.sequence(F.lit(0), F.size(bs) - 1), lambda k: F.get(bs, k).rlike(SPARK.block_header))
-        return let(F.transform(bs, indent), lambda indents: F.transform(heads, lambda k, i: facts(bs, indents, k, i)))
-
-    return let(F.split(marked, BLOCK_CHAR, -1), of_blocks)
-
-
-def constant_facts(code: Column) -> Column:
-    """array<struct<in_class, name, value>> of upper-case constants, in text order."""
-    tokens = F.regexp_extract_all(F.concat(code, F.lit("\n")), F.lit(SPARK.module_constant), F.lit(0))
-    flat = F.flatten(
-        F.transform(
-            tokens,
-            lambda token: F.when(
-                token.startswith("class"),
-                F.filter(
-                    F.regexp_extract_all(token, F.lit(SPARK.class_constant), F.lit(0)),
-                    lambda inner: inner.rlike(CONSTANT_HEAD)
-                    & (F.regexp_extract(inner, "^([ \t]*)", 1) == F.regexp_extract(token, CLASS_MARGIN, 1)),
-                ),
-            ).otherwise(F.filter(F.array(token), lambda outer: outer.rlike(CONSTANT_HEAD))),
-        )
-    )
-    facts = F.transform(
-        flat,
-        lambda token: F.struct(
-            token.rlike("^[ \t]").alias("in_class"),
-            F.regexp_extract(token, rf"^[ \t]*({UPPER_NAME})", 1).alias("name"),
-            strip(F.regexp_extract(token, r"^[^=]*=((?s:.*))$", 1)).alias("value"),
-        ),
-    )
-    return F.filter(facts, lambda c: c["name"].rlike(r"\p{Lu}") & ~c["value"].startswith("="))
-
-
 def last_values(ordered: Column) -> Column:
     """Constants sorted by (name, pos) reduced to one per name: first place, last value.
 

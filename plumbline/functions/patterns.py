@@ -1,140 +1,23 @@
 """Regular expressions for Python source text.
 
-Each pattern is built twice from one description: for Spark with possessive
-quantifiers, which keep Java's matcher iterative on long texts, and plainly for
-engines without backtracking.
+Quantifiers that never give back are possessive, which keeps Java's matcher iterative on long texts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 IDENT = r"[\p{L}\p{N}_]+"
-#: One target of an assignment; only plain names count, the others may stand beside them.
-TARGET = rf"\*?{IDENT}(?:\.{IDENT}|\[[^\[\]\n]*\])*"
-BLOCK_CHAR = "\u0001"
-GROUP_CHAR = "\u0002"
-AFTER_SEMICOLON = 400
-ONE_LINE_BLOCK = r"(?m:^)([ \t]*)(?:if|elif|else|for|while|with|try|except|finally)\b[^:\n]*:[ \t]+([^ \t\n])"
-#: Python's own tokenizer refuses source whose brackets nest deeper.
-MAX_NESTING = 200
 UPPER_NAME = r"[\p{Lu}_][\p{Lu}\p{Lo}\p{N}_]*"
+BRACKET_GROUP = r"[\[({][^\[\](){}]*[\])}]"
+PARAM_DOC = r":param\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*:"
 
 
-@dataclass(frozen=True)
-class SourcePatterns:
-    """Pattern texts; ``poss`` is appended to every quantifier that never gives back.
-
-    ``nesting`` is the depth of brackets that a pattern follows.
-    """
-
-    poss: str = "+"
-    nesting: int = MAX_NESTING
-
-    @property
-    def string(self) -> str:
-        p = self.poss
-        return (
-            r'"""(?s:.*?)"""' + r"|'''(?s:.*?)'''"
-            + rf'|"(?:[^"\\\n]+{p}|\\(?s:.))*{p}"' + rf"|'(?:[^'\\\n]+{p}|\\(?s:.))*{p}'"
-        )
-
-    @property
-    def comment(self) -> str:
-        return rf"#[^\n]*{self.poss}"
-
-    @property
-    def lexeme(self) -> str:
-        """Strings and comments; one capture per kind of quote, holding that quote."""
-        p = self.poss
-        return (
-            r'(")""(?s:.*?)"""' + r"|(')''(?s:.*?)'''"
-            + rf'|(")(?:[^"\\\n]+{p}|\\(?s:.))*{p}"' + rf"|(')(?:[^'\\\n]+{p}|\\(?s:.))*{p}'"
-            + rf"|#[^\n]*{p}"
-        )
-
-    @property
-    def inside_brackets(self) -> str:
-        """Text between brackets, with ``nesting`` further levels of brackets in it."""
-        p = self.poss
-        plain = "|".join([rf"[^\"'#\[\](){{}}]+{p}", self.string, self.comment])
-        text = f"(?:{plain})*{p}"
-        for _ in range(self.nesting):
-            text = rf"(?:{plain}|[\[({{]{text}[\])}}])*{p}"
-        return text
-
-    @property
-    def header(self) -> str:
-        """Function header up to its colon: captures indent, name, parameters."""
-        return (
-            rf"(?m:^)([ \t]*)def[ \t]+({IDENT})[ \t]*\(({self.inside_brackets})\)"
-            rf"(?:[^:\n\"'#\[\](){{}}]+{self.poss}|{self.string}|[\[({{]{self.inside_brackets}[\])}}])*{self.poss}:"
-        )
-
-    @property
-    def docstring(self) -> str:
-        """Docstring after a header: captures the whole string literal."""
-        p = self.poss
-        return rf"(?:[ \t]*{p}(?:#[^\n]*{p})?\n)*{p}[ \t]*{p}[rRuU]?({self.string})"
-
-    @property
-    def function(self) -> str:
-        """One function header with its docstring, if it has one."""
-        return rf"{self.header}(?:{self.docstring})?"
-
-    @property
-    def function_or_lexeme(self) -> str:
-        """Functions, with strings and comments consumed so that none hides one."""
-        return rf"{self.function}|{self.string}|{self.comment}"
-
-    @property
-    def block_start(self) -> str:
-        return r"(?m:^)([ \t]*(?:async[ \t]+def|def|class)[ \t])"
-
-    @property
-    def block_header(self) -> str:
-        return rf"^([ \t]*)def[ \t]+({IDENT})"
-
-    @property
-    def assignment(self) -> str:
-        """Plain assignment on masked code: captures the comma-separated targets."""
-        p = self.poss
-        return (
-            rf"(?m:^)[ \t]*\[?((?:{TARGET}[ \t]*,[ \t]*)*{p}(?:{TARGET})?)[ \t]*\]?[ \t]*=[^=]"
-        )
-
-    @property
-    def constant_value(self) -> str:
-        p = self.poss
-        return (
-            rf"(?:[^\"'#\[\](){{}}\n]+{p}|{self.string}"
-            rf"|[\[({{]{self.inside_brackets}[\])}}])*{p}"
-        )
-
-    @property
-    def module_constant(self) -> str:
-        """Module-level constants and whole class blocks, strings and comments consumed."""
-        p = self.poss
-        return (
-            rf"(?m:^)class[ \t][^\n]*\n(?:[ \t]+[^\n]*{p}\n|[ \t]*\n)*{p}"
-            rf"|(?m:^){UPPER_NAME}[ \t]*=[ \t]*{self.constant_value}"
-            rf"|{self.string}|{self.comment}"
-        )
+def _long_string(quote: str) -> str:
+    return rf"({quote}){quote * 2}(?:{quote}{{0,2}}+(?:[^{quote}\\]++|\\(?s:.)))*+{quote * 3}"
 
-    @property
-    def class_constant(self) -> str:
-        """Constants inside a class block, however deep; their indent tells those of the class itself."""
-        return (
-            rf"(?m:^)[ \t]+{UPPER_NAME}[ \t]*=[ \t]*{self.constant_value}"
-            rf"|{self.string}|{self.comment}"
-        )
 
+def _short_string(quote: str) -> str:
+    return rf"({quote})(?:[^{quote}\\\n]++|\\(?s:.))*+{quote}"
 
-SPARK = SourcePatterns("+")
-PLAIN = SourcePatterns("", 9)
 
-BRACKET_GROUP = r"[\[({][^\[\](){}]*[\])}]"
-CALL_GROUP = r"\([^()]*\)"
-CONSTANT_HEAD = rf"^[ \t]*{UPPER_NAME}[ \t]*="
-CLASS_MARGIN = r"^class[^\n]*\n(?:[ \t]*(?:#[^\n]*)?\n)*([ \t]+)"
-PARAM_DOC = r":param\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*:"
+#: Strings and comments; one capture per kind of string, holding its quote.
+LEXEME = "|".join([*map(_long_string, "\"'"), *map(_short_string, "\"'"), r"#[^\n]*+"])

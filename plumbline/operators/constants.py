@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import code
+from plumbline.functions.source import with_symbols
 from plumbline.operators import scopes
 from plumbline.sources.files import FILE_KEY, REPO_KEY
 
@@ -15,17 +16,16 @@ SHOWN_ERRORS = 10
 SHOWN_VALUE_CHARS = 50
 
 
-def with_constants(files: DataFrame, wanted: Column) -> DataFrame:
-    """Add ``constants``: array<struct<pos, name, type, size, text>>, one per name.
+def with_constants(files: DataFrame) -> DataFrame:
+    """Add ``constants``: array<struct<pos, name, type, size, text>>, one per name; needs ``constant_values``.
 
-    Null where not wanted.  The helper columns are separate projections because
+    Null where that is null.  The helper columns are separate projections because
     they are indexed from inside lambdas.
     """
-    raw = files.withColumn("raw_constants", F.when(wanted, code.constant_facts(F.col("content"))))
-    ordered = raw.withColumn(
+    ordered = files.withColumn(
         "ordered_constants",
         F.array_sort(F.transform(
-            "raw_constants",
+            "constant_values",
             lambda c, i: F.struct(c["name"].alias("name"), i.alias("pos"),
                                   c["in_class"].alias("in_class"), c["value"].alias("value")),
         )),
@@ -43,7 +43,7 @@ def with_constants(files: DataFrame, wanted: Column) -> DataFrame:
             c["literal"]["size"].alias("size"), c["literal"]["text"].alias("text"),
         ),
     )
-    return distinct.withColumn("constants", flat).drop("raw_constants", "ordered_constants", "distinct_constants")
+    return distinct.withColumn("constants", flat).drop("ordered_constants", "distinct_constants")
 
 
 def is_plural(kind: Column, size: Column) -> Column:
@@ -96,7 +96,7 @@ def error_bullets(errors: Column) -> Column:
 
 
 def extract_constants(files: DataFrame) -> DataFrame:
-    rows = with_constants(files.filter(scopes.is_python()), F.lit(True))
+    rows = with_constants(with_symbols(files.filter(scopes.is_python()), F.lit(True)))
     # The outer form keeps Spark from computing the constants once more in a filter.
     return rows.select(*FILE_KEY, F.inline_outer("constants")).filter(F.col("name").isNotNull()).select(
         *FILE_KEY, "pos", "name", value_kind(F.col("type")).alias("value_kind"),
@@ -133,7 +133,7 @@ def fields_summary() -> Column:
 
 
 def picked_fields(files: DataFrame) -> DataFrame:
-    facts = with_constants(files.filter(scopes.is_fields_file()), F.lit(True)).select(*REPO_KEY, "file_ord", fields_summary().alias("fields"))
+    facts = with_constants(with_symbols(files.filter(scopes.is_fields_file()), F.lit(True))).select(*REPO_KEY, "file_ord", fields_summary().alias("fields"))
     rows = facts.unionByName(files.select(*REPO_KEY), allowMissingColumns=True)
     return rows.groupBy(*REPO_KEY).agg(F.min_by("fields", "file_ord").alias("picked"))
 

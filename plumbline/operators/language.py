@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import code
+from plumbline.functions.source import with_symbols
 from plumbline.functions.text import (
     basename, contains_any, ends_with_any, let, numbered, starts_with_any, strip,
 )
@@ -13,7 +14,7 @@ from plumbline.functions.words import (
     dictionary_words, is_known, raw_words, telling_words, unknown_keys,
 )
 from plumbline.operators import scopes
-from plumbline.operators.symbols import is_telling_variable, with_masked
+from plumbline.operators.symbols import is_telling_variable
 from plumbline.policy import (
     DEFAULT_POLICY, PARAM_INFIXES, PARAM_PREFIXES, PARAM_SUFFIXES, AuditPolicy,
 )
@@ -23,11 +24,12 @@ ENGLISH = "en"
 BROADCAST_WORD_LIMIT = 5_000_000
 SALTS = 64
 
-DOCSTRING, PARAMETER, VARIABLE, UNDOCUMENTED, UNDEFINED = range(1, 6)
+DOCSTRING, PARAMETER, VARIABLE, UNDOCUMENTED, UNDEFINED, UNREADABLE = range(1, 7)
 KIND_LABELS = {
     DOCSTRING: "docstring line", PARAMETER: "parameter", VARIABLE: "variable",
-    UNDOCUMENTED: "undocumented parameters", UNDEFINED: "documented but undefined parameters",
+    UNDOCUMENTED: "undocumented parameters", UNDEFINED: "documented but undefined parameters", UNREADABLE: "ERROR",
 }
+NOT_PARSED = "strings, brackets or indentation do not parse"
 
 
 def zipf(count: Column, total: Column) -> Column:
@@ -116,17 +118,17 @@ def english_texts(documents: DataFrame, dictionary: DataFrame, policy: AuditPoli
     )
 
 
-def _item(kind: int, indent: Column, fn_pos: Column, fn_name: Column, pos: Column, detail: Column,
+def _item(kind: int, depth: Column, fn_pos: Column, fn_name: Column, pos: Column, detail: Column,
           whole: Column, parts: Column, n_parts: Column) -> Column:
     """One thing to judge: words of its whole-text test, and of its part-by-part test."""
     return F.struct(
-        F.lit(kind).alias("kind"), indent.alias("indent"), fn_pos.alias("fn_pos"), fn_name.alias("fn_name"),
+        F.lit(kind).alias("kind"), depth.alias("depth"), fn_pos.alias("fn_pos"), fn_name.alias("fn_name"),
         pos.cast("int").alias("item_pos"), detail.alias("detail"), whole.alias("whole"),
         parts.alias("parts"), n_parts.alias("n_parts"),
     )
 
 
-ITEM_FIELDS = ("kind", "indent", "fn_pos", "fn_name", "item_pos", "detail", "n_parts")
+ITEM_FIELDS = ("kind", "depth", "fn_pos", "fn_name", "item_pos", "detail", "n_parts")
 
 
 def _with_keys(items: Column, policy: AuditPolicy) -> Column:
@@ -152,7 +154,7 @@ def _docstring_items(fn: Column, fn_pos: Column, policy: AuditPolicy) -> Column:
         lambda line: (F.length(line["text"]) > policy.min_line_chars) & ~line["text"].rlike(r"^(?::|>>>|\.\.\.|#)"),
     )
     return F.transform(checked, lambda line: let(raw_words(line["text"]), lambda words: _item(
-        DOCSTRING, fn["indent"], fn_pos, fn["name"], line["no"], line["text"],
+        DOCSTRING, fn["depth"], fn_pos, fn["name"], line["no"], line["text"],
         telling_words(line["text"]), words, F.size(words),
     )))
 
@@ -167,18 +169,18 @@ def is_technical_param(name: Column) -> Column:
 
 def _param_items(fn: Column, fn_pos: Column, policy: AuditPolicy) -> Column:
     params = F.transform(
-        code.positional_params(fn["params"]), lambda name, i: F.struct(name.alias("name"), i.alias("pos"))
+        fn["params"], lambda name, i: F.struct(name.alias("name"), i.alias("pos"))
     )
     return F.transform(
         F.filter(params, lambda p: ~is_technical_param(p["name"])),
-        lambda p: _item(PARAMETER, fn["indent"], fn_pos, fn["name"], p["pos"], p["name"],
+        lambda p: _item(PARAMETER, fn["depth"], fn_pos, fn["name"], p["pos"], p["name"],
                         telling_words(p["name"]), _no_words(), F.lit(0)),
     )
 
 
 def _drift_items(fn: Column, fn_pos: Column, policy: AuditPolicy) -> Column:
     def finding(kind: int, names: Column) -> Column:
-        return _item(kind, fn["indent"], fn_pos, fn["name"], F.lit(0), F.array_join(names, ", "),
+        return _item(kind, fn["depth"], fn_pos, fn["name"], F.lit(0), F.array_join(names, ", "),
                      _no_words(), _no_words(), F.lit(0))
 
     def compare(lists: Column) -> Column:
@@ -197,17 +199,17 @@ def _drift_items(fn: Column, fn_pos: Column, policy: AuditPolicy) -> Column:
         ))
 
     return let(F.struct(
-        code.positional_params(fn["params"]).alias("params"),
+        fn["params"].alias("params"),
         code.documented_params(fn["docstring"]).alias("documented"),
     ), compare)
 
 
-def _variable_items(block: Column, policy: AuditPolicy) -> Column:
+def _variable_items(fn: Column, fn_pos: Column, policy: AuditPolicy) -> Column:
     """Parts of at most three characters count as English."""
     return F.transform(
-        F.filter(block["variables"], is_telling_variable),
+        F.filter(fn["variables"], is_telling_variable),
         lambda name, i: let(F.split(name, "_", -1), lambda parts: _item(
-            VARIABLE, block["indent"], block["pos"], block["name"], i, name,
+            VARIABLE, fn["depth"], fn_pos, fn["name"], i, name,
             telling_words(name), F.filter(parts, lambda part: F.length(part) > 3), F.size(parts),
         )),
     )
@@ -221,26 +223,26 @@ def language_items(files: DataFrame, kinds: tuple[int, ...], policy: AuditPolicy
         makers.append(_docstring_items)
     if PARAMETER in kinds:
         makers.append(_param_items)
+    if VARIABLE in kinds:
+        makers.append(_variable_items)
     if UNDOCUMENTED in kinds or UNDEFINED in kinds:
         makers.append(_drift_items)
-    arrays = []
-    if makers:
-        scoped = scoped.withColumn("fns", code.function_facts(F.col("content")))
-        arrays.append(F.flatten(F.transform(
-            "fns", lambda fn, i: F.concat(*(make(fn, i, policy) for make in makers))
-        )))
-    if VARIABLE in kinds:
-        scoped = with_masked(scoped, F.lit(True)).withColumn("blocks", code.local_variables(F.col("masked")))
-        arrays.append(F.flatten(F.transform("blocks", lambda block: _variable_items(block, policy))))
-    items = scoped.select(*FILE_KEY, "entries", F.inline(_with_keys(F.concat(*arrays), policy)))
+    scoped = with_symbols(scoped, F.lit(True))
+    arrays = [F.flatten(F.transform(
+        "functions", lambda fn, i: F.concat(*(make(fn, i, policy) for make in makers))
+    ))] if makers else []
+    if UNREADABLE in kinds:
+        error = _item(UNREADABLE, F.lit(0), F.lit(0), F.lit(""), F.lit(0), F.lit(NOT_PARSED), _no_words(), _no_words(), F.lit(0))
+        arrays.append(F.array_compact(F.array(F.when(F.col("broken"), error))))
+    items = scoped.select(*FILE_KEY, "entries", F.inline_outer(_with_keys(F.concat(*arrays), policy)))
     return items.filter(F.col("kind").isin(*kinds)).select("*", F.inline("entries")).drop("entries")
 
 
-ITEM_KEY = (*FILE_KEY, "scope_part", "scope_pos", "kind", "indent", "fn_pos", "fn_name", "item_pos")
+ITEM_KEY = (*FILE_KEY, "scope_part", "scope_pos", "kind", "depth", "fn_pos", "fn_name", "item_pos")
 
 
 def language_findings(files: DataFrame, dictionary: DataFrame, policy: AuditPolicy = DEFAULT_POLICY,
-                      kinds: tuple[int, ...] = (DOCSTRING, PARAMETER, VARIABLE, UNDOCUMENTED, UNDEFINED)) -> DataFrame:
+                      kinds: tuple[int, ...] = (DOCSTRING, PARAMETER, VARIABLE, UNDOCUMENTED, UNDEFINED, UNREADABLE)) -> DataFrame:
     """Rows (file, scope entry, function, kind, detail) that break the language rules.
 
     Items are exploded into the words only the dictionary can decide, looked up
@@ -301,6 +303,11 @@ def variable_language(files: DataFrame, dictionary: DataFrame, policy: AuditPoli
     )
 
 
+def unreadable_files(files: DataFrame) -> DataFrame:
+    """Files of the language scope that do not parse; they have no other finding."""
+    return language_items(files, (UNREADABLE,), DEFAULT_POLICY).select(*FILE_KEY, "detail")
+
+
 def docstring_param_drift(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
     """Parameters and docstring that disagree; no dictionary and no shuffle."""
     items = language_items(files, (UNDOCUMENTED, UNDEFINED), policy)
@@ -323,11 +330,11 @@ def finding_text() -> Column:
 def language_report(files: DataFrame, dictionary: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
     """Numbered block per file with findings, and one 'OK' row per repository without any.
 
-    Inside a block outermost functions come first.  Every finding also counts
+    Inside a block functions stand in the order of a walk through the syntax tree.  Every finding also counts
     for its repository in the same aggregation, so findings are computed once;
     only one file's findings are ever gathered.
     """
-    entry = F.struct("indent", "fn_pos", "kind", "item_pos", finding_text().alias("text"))
+    entry = F.struct("depth", "fn_pos", "kind", "item_pos", finding_text().alias("text"))
     place = ("path", "scope_part", "scope_pos")
     both = F.array(
         F.struct(*place, entry.alias("entry"), F.lit(0).alias("n")),
@@ -340,7 +347,9 @@ def language_report(files: DataFrame, dictionary: DataFrame, policy: AuditPolicy
     folded = found.unionByName(repos).groupBy(*REPO_KEY, *place).agg(
         F.array_sort(F.collect_list("entry")).alias("found"), F.sum("n").alias("n")
     )
-    block = F.concat(basename(F.col("path")), F.lit("\n"), numbered(F.transform("found", lambda f: f["text"])))
+    texts = F.transform("found", lambda f: f["text"])
+    unread = F.get("found", 0)["kind"] == UNREADABLE
+    block = F.concat(basename(F.col("path")), F.lit("\n"), F.when(unread, F.array_join(texts, "\n")).otherwise(numbered(texts)))
     return folded.filter(F.col("path").isNotNull() | (F.col("n") == 0)).select(
         *REPO_KEY, F.coalesce("scope_part", F.lit(0)).alias("scope_part"),
         F.coalesce("scope_pos", F.lit(0)).alias("scope_pos"), F.coalesce("path", F.lit("")).alias("path"),

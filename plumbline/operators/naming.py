@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import code
+from plumbline.functions.source import with_symbols
 from plumbline.functions.text import any_of, basename, let, numbered, strip
 from plumbline.operators import scopes
-from plumbline.operators.symbols import with_masked
 from plumbline.policy import DEFAULT_POLICY, AuditPolicy
 from plumbline.sources.files import FILE_KEY, REPO_KEY
 
@@ -31,15 +30,15 @@ def breaks_test_rule(name: Column, policy: AuditPolicy) -> Column:
 
 
 def checked_functions(names: Column, policy: AuditPolicy) -> Column:
-    """Functions left to check: a test file's outermost first one and fixed names are not."""
-    order = lambda f: F.struct(f["indent"], f["pos"])
+    """Functions left to check: fixed names are not, nor the first of a test file in a walk through its syntax tree."""
+    order = lambda f: F.struct(f["depth"], f["pos"])
     first = F.array_min(F.transform(names, order))
     kept = F.when(scopes.is_test_file(), F.filter(names, lambda f: order(f) != first)).otherwise(names)
     return F.filter(kept, lambda f: ~f["name"].isin(*policy.ignored_functions))
 
 
 def bad_functions(names: Column, policy: AuditPolicy) -> Column:
-    """array<struct<indent, pos, name>> of badly named functions; ``names`` must be a column."""
+    """The badly named ones of an array of functions; ``names`` must be a column."""
     checked = checked_functions(names, policy)
     is_bad = lambda f: F.when(
         scopes.is_test_file(), breaks_test_rule(f["name"], policy)
@@ -47,20 +46,14 @@ def bad_functions(names: Column, policy: AuditPolicy) -> Column:
     return F.filter(checked, is_bad)
 
 
-def with_function_names(files: DataFrame, wanted: Column) -> DataFrame:
-    """Add ``names``: the functions of each wanted file; needs ``masked``."""
-    return files.withColumn("names", F.when(wanted, code.function_names(F.col("masked"))))
-
-
 def _verb_files(files: DataFrame) -> DataFrame:
-    scoped = files.filter(scopes.in_verb_scope())
-    return with_function_names(with_masked(scoped, F.lit(True)), F.lit(True))
+    return with_symbols(files.filter(scopes.in_verb_scope()), F.lit(True))
 
 
 def _violations(files: DataFrame, policy: AuditPolicy) -> DataFrame:
     return _verb_files(files).select(
-        *FILE_KEY, F.inline(bad_functions(F.col("names"), policy))
-    ).select(*FILE_KEY, F.col("pos").alias("fn_pos"), F.col("name").alias("fn_name"))
+        *FILE_KEY, F.inline_outer(bad_functions(F.col("functions"), policy))
+    ).filter(F.col("pos").isNotNull()).select(*FILE_KEY, F.col("pos").alias("fn_pos"), F.col("name").alias("fn_name"))
 
 
 def fn_verb_violations(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
@@ -74,8 +67,8 @@ def test_fn_violations(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -
 def test_fn_skip_first(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
     """Functions of test files that remain to be checked."""
     return _verb_files(files.filter(scopes.is_test_file())).select(
-        *FILE_KEY, F.inline(checked_functions(F.col("names"), policy))
-    ).select(*FILE_KEY, F.col("pos").alias("fn_pos"), F.col("name").alias("fn_name"))
+        *FILE_KEY, F.inline_outer(checked_functions(F.col("functions"), policy))
+    ).filter(F.col("pos").isNotNull()).select(*FILE_KEY, F.col("pos").alias("fn_pos"), F.col("name").alias("fn_name"))
 
 
 def verb_block(names: Column, policy: AuditPolicy) -> Column:
@@ -115,25 +108,23 @@ def with_listing(files: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def fn_verb_report(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
-    scoped = files.filter(scopes.in_verb_scope())
-    named = with_function_names(with_masked(scoped, F.lit(True)), F.lit(True))
-    return blocks_or_ok(with_listing(files, named.select(
+    return blocks_or_ok(with_listing(files, _verb_files(files).select(
         *REPO_KEY, basename(F.col("path")).alias("sort_name"), "file_ord",
-        verb_block(F.col("names"), policy).alias("block"),
+        verb_block(F.col("functions"), policy).alias("block"),
     )))
 
 
-def verb_variables(masked: Column, policy: AuditPolicy) -> Column:
-    """Assigned names that start with a verb, duplicates kept, in text order."""
-    return F.filter(code.assignment_targets(masked), lambda name: starts_with_verb(name, policy))
+def verb_variables(assigned: Column, policy: AuditPolicy) -> Column:
+    """Assigned names that start with a verb, duplicates kept, in the order of a walk through the syntax tree."""
+    return F.filter(F.transform(F.array_sort(assigned), lambda a: a["name"]), lambda name: starts_with_verb(name, policy))
 
 
 def variable_verb_violations(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
     """Verb-named variables per base name; the last file of a name that has any wins."""
     entries = files.withColumn("entries", scopes.variable_entries()).filter(F.size("entries") > 0)
-    found = with_masked(entries, F.lit(True)).select(
+    found = with_symbols(entries, F.lit(True)).select(
         *REPO_KEY, basename(F.col("path")).alias("basename"), F.array_max("entries").alias("scope"),
-        verb_variables(F.col("masked"), policy).alias("names"),
+        verb_variables(F.col("assigned"), policy).alias("names"),
     )
     has_names = F.when(F.size("names") > 0, F.col("scope"))
     return (

@@ -10,45 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import code
+from plumbline.functions.source import with_symbols
 from plumbline.functions.text import contains_any, ends_with_any, strip
 from plumbline.operators import scopes
 from plumbline.policy import TECHNICAL_NAMES, VARIABLE_INFIXES, VARIABLE_SUFFIXES
 from plumbline.sources.files import FILE_KEY
 
 
-def with_masked(files: DataFrame, wanted: Column) -> DataFrame:
-    """Add ``masked``: the body without comments and string texts, where wanted."""
-    return files.withColumn("masked", F.when(wanted, code.mask_literals(F.col("content"))))
-
-
 def functions(files: DataFrame) -> DataFrame:
-    """One row per function: position, indent, name, raw parameters, docstring."""
-    return files.filter(scopes.is_python()).select(
-        *FILE_KEY, F.posexplode(code.function_facts(F.col("content"))).alias("fn_pos", "fn")
-    ).select(
-        *FILE_KEY, "fn_pos", "fn.indent", F.col("fn.name").alias("fn_name"), "fn.params", "fn.docstring"
-    )
+    """One row per function: depth in the syntax tree, position in the text, indent, name, parameters, docstring."""
+    found = with_symbols(files.filter(scopes.is_python()), F.lit(True))
+    # the outer form keeps Spark from computing the functions once more in a filter
+    return found.select(*FILE_KEY, F.inline_outer("functions")).filter(F.col("pos").isNotNull()).withColumnsRenamed({"pos": "fn_pos", "name": "fn_name"})
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
-    masked = with_masked(files.filter(scopes.is_python()), F.lit(True))
-    return masked.select(*FILE_KEY, F.inline(code.function_names(F.col("masked")))).select(
-        *FILE_KEY, F.col("pos").alias("fn_pos"), "indent", F.col("name").alias("fn_name")
-    )
+    return functions(files).select(*FILE_KEY, "fn_pos", "indent", "fn_name")
 
 
 def extract_assignments(files: DataFrame) -> DataFrame:
-    masked = with_masked(files.filter(scopes.is_python()), F.lit(True))
-    return masked.select(
-        *FILE_KEY, F.posexplode(code.assignment_targets(F.col("masked"))).alias("pos", "name")
-    )
+    """Names that plain assignments assign to, in the order of a walk through the syntax tree."""
+    found = with_symbols(files.filter(scopes.is_python()), F.lit(True))
+    return found.select(*FILE_KEY, F.posexplode_outer(F.array_sort("assigned")).alias("pos", "target")).filter(F.col("pos").isNotNull()).select(*FILE_KEY, "pos", "target.name")
 
 
 def extract_params(files: DataFrame) -> DataFrame:
-    return functions(files).select(
-        *FILE_KEY, "fn_pos", "fn_name",
-        F.posexplode(code.positional_params(F.col("params"))).alias("param_pos", "param"),
-    )
+    return functions(files).select(*FILE_KEY, "fn_pos", "fn_name", F.posexplode("params").alias("param_pos", "param"))
 
 
 def extract_docstrings(files: DataFrame) -> DataFrame:
@@ -74,9 +61,13 @@ def is_telling_variable(name: Column) -> Column:
 
 
 def extract_local_vars(files: DataFrame) -> DataFrame:
-    masked = with_masked(files.filter(scopes.is_python()), F.lit(True))
-    rows = masked.select(*FILE_KEY, F.inline(code.local_variables(F.col("masked"))))
-    return rows.select(
-        *FILE_KEY, F.col("pos").alias("fn_pos"), F.col("name").alias("fn_name"),
-        F.explode(F.filter("variables", is_telling_variable)).alias("variable"),
+    """Telling single names assigned inside each function, nested functions included."""
+    return functions(files).select(
+        *FILE_KEY, "fn_pos", "fn_name", F.explode(F.filter("variables", is_telling_variable)).alias("variable"),
     )
+
+
+def files_that_do_not_parse(files: DataFrame) -> DataFrame:
+    """Python files whose strings, brackets or indentation are unsound."""
+    found = with_symbols(files.filter(scopes.is_python()), F.lit(True))
+    return found.select(*FILE_KEY, F.explode_outer(F.array(F.col("broken"))).alias("broken")).filter("broken").select(*FILE_KEY)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import comments, naming, scopes
-from plumbline.operators.symbols import with_masked
+from plumbline.functions.source import with_symbols
 from plumbline.policy import DEFAULT_POLICY, AuditPolicy
 from plumbline.sources.files import FILE_KEY, REPO_KEY
 
@@ -18,8 +18,8 @@ from plumbline.sources.files import FILE_KEY, REPO_KEY
 def findings_text(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
     """Blocks of the verb, import and comment rules from one scan, without a shuffle."""
     scoped = scopes.in_verb_scope()
-    named = naming.with_function_names(with_masked(files, scoped), scoped)
-    blocks = named.withColumn("verbs", naming.verb_block(F.col("names"), policy)).withColumn(
+    named = with_symbols(files, scoped)
+    blocks = named.withColumn("verbs", F.when(scoped, naming.verb_block(F.col("functions"), policy))).withColumn(
         "imports", naming.udf_block(policy)
     ).withColumn("comments", comments.comment_block())
     rows = F.array(*(

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.source import with_symbols
 from plumbline.functions.text import basename
 from plumbline.operators import comments, config, constants, flags, language, naming, scopes
-from plumbline.operators.symbols import with_masked
 from plumbline.policy import DEFAULT_POLICY, AuditPolicy
 from plumbline.sources.files import REPO_KEY
 
@@ -30,11 +30,9 @@ def file_facts(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFr
     body = F.col("content")
     variable_entries, pandas_entries = scopes.variable_entries(), scopes.pandas_entries()
     in_variables, in_pandas = F.size(variable_entries) > 0, F.size(pandas_entries) > 0
-    prepared = with_masked(files, scopes.in_verb_scope() | in_variables)
-    prepared = naming.with_function_names(prepared, scopes.in_verb_scope())
-    prepared = constants.with_constants(prepared, scopes.is_fields_file())
+    prepared = constants.with_constants(with_symbols(files, scopes.in_verb_scope() | in_variables | scopes.is_fields_file()))
     scoped, conf, listed = scopes.in_flag_scope(), flags.is_conf(), F.size(scopes.language_entries())
-    n_verbs = F.size(naming.verb_variables(F.col("masked"), policy))
+    n_verbs = F.size(naming.verb_variables(F.col("assigned"), policy))
     facts = {
         "scoped": F.when(scoped, F.lit(True)),
         "f_spark_read": F.when(scoped, flags.reads_spark()),
@@ -54,7 +52,7 @@ def file_facts(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFr
         "c_sonar": F.when(F.col("path") == "sonar-project.properties", body.contains(policy.coverage_line)),
         "sdk": config.sdk_version(policy),
         **config.version_facts(policy),
-        "n_bad_functions": F.when(scopes.in_verb_scope(), F.size(naming.bad_functions(F.col("names"), policy))),
+        "n_bad_functions": F.when(scopes.in_verb_scope(), F.size(naming.bad_functions(F.col("functions"), policy))),
         "n_udf": F.when(scopes.in_udf_scope() & naming.may_import_udf(policy), F.size(naming.udf_hits(policy))),
         "n_listed": F.when(listed > 0, listed),
         "n_commented": F.when(listed > 0, F.when(F.size(comments.comments()) > 0, listed)),

@@ -1,11 +1,13 @@
 """Symbol extraction against CPython's own parser."""
 
 import ast
+import itertools
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import code
+from plumbline.functions import source
 from plumbline.operators import symbols
 from plumbline.sources import corpus
 
@@ -99,18 +101,80 @@ class Two:
 }
 
 
+CHAINS = r'''
+x = y = a
+(l, r) = 1, 2
+def f(a): v = 1
+A_FIELD = B_FIELD = 1
+D_FIELD = \
+3
+class K: E_FIELD = 'a;b'; G = {'x': "y"}
+[p] = 1,
+((q, s)) = 2
+(t) = 4
+w, (m, n) = 1, (2, 3)
+lam = lambda z=1: z
+ann: int = 5
+aug = 1
+aug += 2
+if (wal := 3) == 4: inn = 1; inm = 2
+obj.attr = val2 = 3
+obj[1] = val3 = {'True': True}[obj]
+*st, en = 1, 2
+PAIR_FIELD = ("a",  # one
+    "b, c")
+text = r"""one \""" two"""
+def g(a, b=lambda x, y: x, *, c=1): "Doc " "two."
+'''
+
+WALK = """
+if a:
+  def one():
+      def two(): 'Doc.'; xx = 1
+  def three(): pass
+elif b:
+    def four(): pass
+elif c:
+    def five(): pass
+else:
+    def six(): pass
+try:
+\tdef seven(): pass
+except E:
+\tdef eight(): pass
+else:
+\tdef nine(): pass
+finally:
+\tdef ten(): pass
+match a:
+    case 1:
+        def eleven(): pass
+class A:
+        def twelve(self, /, a, *, b=1): pass
+async def skip():
+    def thirteen(x: Dict[str, int] = {'k': ')'}) -> int:
+        # c
+        '''Doc
+
+        more'''
+        zz = 1
+match = 3
+case = lambda: 0
+"""
+
+BROKEN = {
+    "bracket": "x = (1\n", "dedent": "if a:\n  x = 1\n y = 2\n", "string": "x = 'abc\n", "no body": "def f():\nx = 1\n",
+    "pair": "x = (1]\n", "indent": "  x = 1\n", "else": "else:\n  x = 1\n", "deeper": "x = 1\n  y = 2\n", "end": "def f():\n",
+}
+
+
 @pytest.fixture(scope="module")
 def facts(spark, make_files):
-    samples = make_files({"R": {f"R/{name}.py": text for name, text in SAMPLES.items()}})
-    files = samples.unionByName(corpus.repo_files(spark, "/root/testdata/sf0.001")).filter("path like '%.py'")
-    masked = symbols.with_masked(files, F.lit(True))
-    return masked.select(
-        "path", "content", code.function_facts(F.col("content")).alias("fns"),
-        code.function_names(F.col("masked")).alias("names"),
-        code.assignment_targets(F.col("masked")).alias("targets"),
-        F.transform(code.function_facts(F.col("content")), lambda f: code.positional_params(f["params"])).alias("params"),
-        F.transform(code.constant_facts(F.col("content")), lambda c: c["name"]).alias("constants"),
-    ).collect()
+    here = pathlib.Path(ast.__file__).parent
+    own = {path.name: path.read_text(encoding="utf-8") for path in sorted(here.glob("[a-h]*.py"))}
+    samples = make_files({"R": {f"R/{name}.py": text for name, text in (SAMPLES | {"chains": CHAINS, "walk": WALK} | own).items()}})
+    files = samples.repartition(16).unionByName(corpus.repo_files(spark, "/root/testdata/sf0.001")).filter("path like '%.py'")
+    return source.with_symbols(files, F.lit(True)).collect()
 
 
 def parsed(row):
@@ -127,27 +191,41 @@ def functions(tree):
 @pytest.fixture(scope="module")
 def pairs(facts):
     trees = [(row, parsed(row)) for row in facts]
+    assert [row.path for row, tree in trees if row.broken and tree is not None] == []
     kept = [(row, tree) for row, tree in trees if tree is not None]
-    assert len(kept) > 100
+    assert len(kept) > 150
     return kept
 
 
 def test_function_names(pairs):
     for row, tree in pairs:
-        expected = [(f.name, f.col_offset) for f in functions(tree)]
-        assert [(f.name, f.indent) for f in row.fns] == expected, row.path
-        assert [(f.name, f.indent) for f in row.names] == expected, row.path
+        assert [f.name for f in row.functions] == [f.name for f in functions(tree)], row.path
+
+
+def test_functions_in_the_order_of_a_walk(pairs):
+    for row, tree in pairs:
+        walked = [n.name for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)]
+        assert [f.name for f in sorted(row.functions, key=lambda f: (f.depth, f.pos))] == walked, row.path
 
 
 def test_docstrings(pairs):
     for row, tree in pairs:
-        assert [f.docstring for f in row.fns] == [(ast.get_docstring(f) or "").strip() for f in functions(tree)], row.path
+        for got, node in zip(row.functions, functions(tree)):
+            if "\\" not in got.docstring:  # escapes are left as written
+                assert got.docstring == (ast.get_docstring(node) or "").strip(), row.path
 
 
 def test_parameters(pairs):
     for row, tree in pairs:
         expected = [[a.arg for a in f.args.args if a.arg not in ("self", "cls")] for f in functions(tree)]
-        assert [list(p) for p in row.params] == expected, row.path
+        assert [list(f.params) for f in row.functions] == expected, row.path
+
+
+def test_local_variables(pairs):
+    for row, tree in pairs:
+        for got, node in zip(row.functions, functions(tree)):
+            names = {t.id for n in ast.walk(node) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)}
+            assert list(got.variables) == sorted(names), (row.path, got.name)
 
 
 def test_assignment_targets(pairs):
@@ -157,7 +235,7 @@ def test_assignment_targets(pairs):
             for target in node.targets if isinstance(node, ast.Assign) else []:
                 parts = target.elts if isinstance(target, (ast.Tuple, ast.List)) else [target]
                 expected += [p.id.lower() for p in parts if isinstance(p, ast.Name)]
-        assert sorted(row.targets) == sorted(expected), row.path
+        assert [a.name for a in sorted(row.assigned, key=lambda a: (a.depth, a.pos))] == expected, row.path
 
 
 def test_constants(pairs):
@@ -167,8 +245,25 @@ def test_constants(pairs):
             body = node.body if isinstance(node, ast.ClassDef) else [node]
             for statement in body:
                 if isinstance(statement, ast.Assign):
-                    expected += [t.id for t in statement.targets if isinstance(t, ast.Name) and t.id.isupper()]
-        assert list(row.constants) == expected, row.path
+                    expected += [(t.id, ast.dump(statement.value)) for t in statement.targets if isinstance(t, ast.Name) and t.id.isupper()]
+        assert [(c.name, ast.dump(ast.parse(f"({c.value})", mode="eval").body)) for c in row.constant_values] == expected, row.path
+
+
+def test_files_that_do_not_parse_have_no_symbols(make_files, make_dictionary):
+    from plumbline.operators import constants, language
+
+    rf = make_files({"R": {f"R/transformations/transformations_{name}.py": f"def bad_name(a):\n    A = 1\n{text}" for name, text in BROKEN.items()}})
+    assert {r.path for r in symbols.files_that_do_not_parse(rf).collect()} == {r.path for r in rf.collect()}
+    assert symbols.extract_functions(rf).count() == symbols.extract_assignments(rf).count() == constants.extract_constants(rf).count() == 0
+    report = language.language_report(rf, make_dictionary("a")).collect()
+    assert len(report) == len(BROKEN) and all("ERROR: " in r.block and r.n_findings == 1 for r in report)
+
+
+def test_running_sums(spark):
+    values = [[], [0], [3], [1, -1, 2, 0, 5, -7, 1, 1, 1], list(range(100))]
+    got = spark.createDataFrame([(v,) for v in values], "v array<int>").select("v", source.running(F.col("v")).alias("s")).collect()
+    for r in got:
+        assert list(r.s) == list(itertools.accumulate(r.v))
 
 
 def test_locals_count_for_inner_and_outer_functions(make_files):
