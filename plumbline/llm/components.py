@@ -10,7 +10,8 @@ from .shared import written
 
 def _star(arcs: DataFrame, nodes_above: bool) -> DataFrame:
     """arcs(u, v). Each u moves its arcs to the least of itself and its neighbours."""
-    least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the session may split the arcs of a hub in the join
+    least = written(arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     moved = arcs.join(least, "u")
     if nodes_above:
         return moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -29,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = arcs.union(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, nodes_above=True).distinct()
+        large = written(_star(both, nodes_above=True).distinct(), "arcs")
         arcs = written(_star(large, nodes_above=False).distinct(), "arcs")
         now = tuple(arcs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:

@@ -1,12 +1,13 @@
 """Exact duplicates by an extendible-hash index whose entries are checked byte by byte.
 
 1. Every document becomes a key `(doc_id, h, sha256)` in an index table in the shared folder.
-2. The directory starts with one bucket; a bucket with more than `capacity` keys doubles (its hash
-   prefix gains a bit) up to `max_depth` bits. It has at most `2 ** max_depth` cells, whatever the
-   corpus, so it may be broadcast. A bucket still overfull there (a hot text) gets overflow pages.
+2. The directory doubles until no bucket (a prefix of the hash) holds more than `capacity` different hashes, hot ones
+   apart; its depth therefore follows the number of keys, without a limit. It is the prefix itself, so that no table of
+   buckets is looked up; hashes fill buckets evenly, so that all are split alike. A hot hash, that of more than `capacity` keys and of at least 1 / `HOT_BOUND` of all, gets
+   overflow pages of `capacity` keys by doc_id; there are at most `HOT_BOUND` of them, which are broadcast.
 3. Texts are sent to the owner of their (bucket, page). Within one, equal hashes form a chain; the
-   grouping on (h, text) compares whole texts byte by byte. The few page entries are merged by
-   (h, sha256).
+   grouping on (h, text) compares whole texts byte by byte. Equal texts share a bucket, so their bytes are compared
+   at every size; only the pages of one hot hash are merged by (h, sha256).
 
 Built-in functions only. Null texts count as empty; an empty table gives an empty result. Rows that
 repeat a doc_id count one by one in `group_size`. A null doc_id never becomes `keep_id` unless all
@@ -23,7 +24,9 @@ from .shared import written
 #: Runs that differ from one space; a single space needs no replacement.
 _UNEVEN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 CAPACITY = 256
-MAX_DEPTH = 14
+HOT_BOUND = 100_000
+#: A hash has this many bits; more doublings than this never help.
+BITS = 64
 
 
 def normalised(text):
@@ -31,52 +34,65 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), _UNEVEN, " ")
 
 
-def _cell(max_depth: int):
-    return F.shiftrightunsigned("h", 64 - max_depth)
+def _prefix(depth: int):
+    """The bucket of a key: a one followed by the first `depth` bits of its hash, so that depths never meet."""
+    return F.expr(f"shiftrightunsigned(h, {BITS} - {depth}) + (1L << {depth})") if depth else F.lit(1).cast("long")
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Rows `(cell, bucket, pages)`: the bucket of every occupied cell of the fully doubled directory."""
-    cells = keys.groupBy(_cell(max_depth).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    # bucket: a one followed by the prefix, so that prefixes of different depths never meet
-    levels = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")).withColumn(
-        "bucket", F.expr(f"shiftright(cell + (1L << {max_depth}), {max_depth} - depth)"))
-    filled = levels.groupBy("bucket").agg(F.sum("n").alias("filled"))
-    fits = (F.col("filled") <= capacity) | (F.col("depth") == max_depth)
-    # at most 2 ** (max_depth + 1) rows
-    return (levels.join(F.broadcast(filled), "bucket").filter(fits)
-            .groupBy("cell").agg(F.min(F.struct("depth", "bucket", "filled")).alias("leaf"))
-            .select("cell", F.col("leaf.bucket").alias("bucket"),
-                    F.ceil(F.col("leaf.filled") / capacity).cast("long").alias("pages")))
+def hot_hashes(keys: DataFrame, capacity: int = CAPACITY, bound: int = HOT_BOUND) -> DataFrame:
+    """`(h, pages)` of hashes that overfill a bucket alone; at most `bound` rows."""
+    total = keys.count()
+    counts = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(capacity + 1, -(-total // bound)))
+    return written(counts.select("h", F.ceil(F.col("n") / capacity).cast("long").alias("pages")), "exact-hot")
+
+
+def depth_of(keys: DataFrame, hot: DataFrame, capacity: int = CAPACITY) -> int:
+    """Doublings until every bucket fits; the count starts it near its end, since a hash fills buckets evenly."""
+    cold = keys.join(F.broadcast(hot.select("h")), "h", "left_anti").select("h").distinct()
+    n = cold.count()
+    depth = max(0, (2 * n // capacity).bit_length() - 1)
+    while depth < BITS - 2 and n > capacity:
+        fullest = cold.groupBy(_prefix(depth)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if fullest <= capacity:
+            break
+        depth += 1
+    return depth
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", normalised(F.col("text")).alias("body")).withColumn("h", F.xxhash64("body"))
 
 
-def _groups(docs: DataFrame, capacity: int, max_depth: int) -> DataFrame:
+def _chains(texts: DataFrame, keys: DataFrame, capacity: int, bound: int) -> DataFrame:
+    """`(bucket, page, h, text_sha256, first, n)`: equal texts of every owner, found by their bytes."""
+    hot = hot_hashes(keys, capacity, bound)
+    placed = texts.withColumn("bucket", _prefix(depth_of(keys, hot, capacity))).join(F.broadcast(hot), "h", "left")
+    page = F.when(F.col("pages").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pages")))
+    owned = placed.select("bucket", page.alias("page"), "h", "body", "doc_id").repartition("bucket", "page")
+    return (owned.groupBy("bucket", "page", "h", "body").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+            .select("bucket", "page", "h", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"), "first", "n"))
+
+
+def _groups(docs: DataFrame, capacity: int, bound: int) -> DataFrame:
     texts = _texts(docs)
     keys = written(texts.select("doc_id", "h", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256")), "exact-keys")
-    owners = directory(keys, capacity, max_depth)
-    pages = (texts.withColumn("cell", _cell(max_depth)).join(F.broadcast(owners), "cell")
-             .select("bucket", F.pmod(F.xxhash64("doc_id"), F.col("pages")).alias("page"), "h", "body", "doc_id")
-             .repartition("bucket", "page"))
-    chains = (pages.groupBy("bucket", "page", "h", "body")
-              .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-              .select("h", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"), "first", "n"))
-    groups = chains.groupBy("h", "text_sha256").agg(F.min("first").alias("keep_id"), F.sum("n").alias("group_size"))
+    # written, so that the session may split the keys of a hot text in the join below
+    groups = written(_chains(texts, keys, capacity, bound).groupBy("h", "text_sha256").agg(F.min("first").alias("keep_id"), F.sum("n").alias("group_size")), "exact-groups")
     return keys.join(groups, ["h", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "h")
 
 
-def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def exact_groups(docs: DataFrame, capacity: int = CAPACITY, bound: int = HOT_BOUND) -> DataFrame:
     """`(doc_id, keep_id, group_size, kept, text_sha256)` for every row of `docs(doc_id, text)`."""
-    return _groups(docs, capacity, max_depth).drop("h")
+    return _groups(docs, capacity, bound).drop("h")
+
 
+def distinct_documents(docs: DataFrame, capacity: int = CAPACITY, bound: int = HOT_BOUND) -> DataFrame:
+    """The rows of `docs` that stay, all columns; of rows with equal doc_id and text one stays.
 
-def distinct_documents(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The rows of `docs` that stay, all columns; of rows with equal doc_id and text one stays."""
-    stays = written(_groups(docs, capacity, max_depth).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_n")), "exact-stays")
+    Two different texts under one doc_id both stay.
+    """
+    stays = written(_groups(docs, capacity, bound).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_n")), "exact-stays")
     rows = docs.withColumn("_hash", F.xxhash64(normalised(F.col("text"))))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
     once = rows.join(stays.filter("_n = 1"), same, "left_semi")

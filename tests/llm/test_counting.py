@@ -83,10 +83,32 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
 
 
+def test_equal_texts_meet_in_one_chain_unless_one_hash_overfills(spark):
+    rows = [(d, f"text {d % 400}") for d in range(1200)] + [(5000 + d, "hot text") for d in range(300)]
+    texts = exact._texts(spark.createDataFrame(rows, SCHEMA))
+    keys = texts.select("doc_id", "h", F.sha2("body", 256).alias("text_sha256"))
+    for capacity in (3, 8, 64):
+        hot = exact.hot_hashes(keys, capacity)
+        assert [r.pages for r in hot.collect()] == [-(-300 // capacity)]
+        depth = exact.depth_of(keys, hot, capacity)
+        loads = texts.join(hot, "h", "left_anti").groupBy(exact._prefix(depth)).agg(F.count_distinct("h").alias("n")).agg(F.max("n")).first()[0]
+        assert loads <= capacity and (capacity > 8 or depth > 4)
+        chains = [(r.text_sha256, r.first, r.n) for r in exact._chains(texts, keys, capacity, exact.HOT_BOUND).collect()]
+        assert [n for _, first, n in chains if first < 5000] == [3] * 400
+        assert len({c[0] for c in chains}) == 401 and sum(n for _, first, n in chains if first >= 5000) == 300
+
+
+def test_the_depth_has_no_limit(spark):
+    keys = spark.range(300_000).select(F.xxhash64("id").alias("h"), F.col("id").alias("doc_id"))
+    hot = exact.hot_hashes(keys, 4)
+    assert hot.count() == 0 and exact.depth_of(keys, hot, 4) > 17
+    # 256 keys a bucket: 15 million documents need a depth of 17, and nothing stops at it
+
+
 @pytest.mark.parametrize("capacity", [1, 3, 1024])
 def test_exact_groups(spark, capacity):
     rows = [(4, "a  b"), (2, "a\tb"), (9, "a b"), (7, "a b "), (8, None), (3, ""), (1, "z")] + [(100 + i, "hot\n\ntext") for i in range(40)]
-    got = {r[0]: tuple(r[1:4]) for r in exact.exact_groups(clashing(spark, rows, "h", "body", "bucket"), capacity=capacity, max_depth=6).collect()}
+    got = {r[0]: tuple(r[1:4]) for r in exact.exact_groups(clashing(spark, rows, "h", "body", "bucket"), capacity=capacity).collect()}
     want = {4: (2, 3, False), 2: (2, 3, True), 9: (2, 3, False), 7: (7, 1, True), 8: (3, 2, False), 3: (3, 2, True), 1: (1, 1, True)}
     assert got == {**want, **{100 + i: (100, 40, i == 0) for i in range(40)}}
 
@@ -163,3 +185,25 @@ def test_jaccard_links_through_null_ids(spark):
     rows = [(1, " ".join(words)), (None, " ".join([*words[:91], *(f"x{k}" for k in range(9))])), (2, " ".join([*words[9:91], *(f"x{k}" for k in range(9))]))]
     got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: (1, 1), None: (1, 2), 2: (1, 1)}
+
+
+def test_written_tables_have_an_owner(spark, monkeypatch, tmp_path):
+    import os
+
+    from plumbline.llm import shared
+
+    monkeypatch.setattr(shared, "shared_folder", lambda session: f"file://{tmp_path}")
+    frame = shared.written(spark.range(5).toDF("n"), "five")
+    assert frame.count() == 5 and os.listdir(tmp_path / "plumbline" / spark.sparkContext.applicationId)
+    assert shared.clean_up(spark) and not os.path.exists(tmp_path / "plumbline" / spark.sparkContext.applicationId)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from plumbline.llm import shared
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(ValueError):
+        shared.shared_folder(session)
