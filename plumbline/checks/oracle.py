@@ -616,7 +616,12 @@ FROM comment_rows GROUP BY {FK}"""
 CTE["q_findings_text"] = f"""
 SELECT b.repo, b.branch, b.path, file_ord, rule_id, block FROM (
   SELECT *, 'verbs' AS rule_id FROM verb_blocks UNION ALL SELECT *, 'imports' FROM udf_blocks UNION ALL SELECT *, 'comments' FROM comment_blocks) b
-JOIN listing USING (repo, branch, path)"""
+JOIN listing USING (repo, branch, path)
+UNION ALL SELECT repo, branch, path, scope_pos, 'language', block FROM q_language_report WHERE n_findings > 0
+UNION ALL SELECT repo, branch, basename, NULL::BIGINT, 'variables', basename || ':' || {NL} || string_agg('  ' || seq || '. ' || name, {NL} ORDER BY seq)
+  FROM q_variable_verb_violations GROUP BY repo, branch, basename
+UNION ALL SELECT repo, branch, basename, NULL::BIGINT, 'pandas', CASE WHEN uses_pandas THEN '❌ ' || basename || ': yes' ELSE '✅ ' || basename || ': no' END
+  FROM q_last_wins_by_basename"""
 
 # --- language ------------------------------------------------------------------------------
 def known(word: str) -> str:
@@ -803,8 +808,8 @@ SELECT cell, CASE WHEN coalesce(txt, '') IN ('', '0') THEN 'hidden' WHEN contain
     ELSE 'none' END AS status, count(*) AS n
 FROM ({' UNION ALL '.join(f"SELECT {lit(c)} AS cell, CAST({c} AS VARCHAR) AS txt FROM q_scorecard" for c in CELLS)}) GROUP BY ALL"""
 CTE["q_scorecard_json"] = f"""
-SELECT repo, branch, true AS success, repo AS repo_value, spark_read AS spark_read_value, CAST(conf_chars AS VARCHAR) AS conf_chars_value,
-  constant_names AS constant_names_value, versions AS versions_value, {lit(','.join(('repo', *CELLS)))} AS column_list FROM q_scorecard"""
+SELECT repo, branch, true AS success, repo AS repo_value, {', '.join(f"CAST({c} AS VARCHAR) AS {c}_value" for c in CELLS)},
+  {lit(','.join(('repo', *CELLS)))} AS column_list FROM q_scorecard"""
 
 
 CTE["q_findings"] = f"""
@@ -814,10 +819,14 @@ UNION ALL SELECT {K}, 'variable_verb', basename, seq, NULL, name FROM q_variable
 UNION ALL SELECT {K}, 'forbidden_import', path, seq, line_no, label FROM q_udf_import_hits
 UNION ALL SELECT {K}, 'constant_name', path, seq, NULL, name || ' -> ' || suggested || ' (' || detail || ')' FROM q_const_naming_findings
 UNION ALL SELECT {K}, 'comment', path, seq, line_no, detail FROM q_comment_findings
+UNION ALL SELECT {K}, 'comment', path, seq, line_no, detail FROM q_comment_findings_app
+UNION ALL SELECT {K}, 'pandas', basename, 1, NULL, 'imports pandas' FROM q_last_wins_by_basename WHERE uses_pandas
 UNION ALL SELECT {K}, 'docstring_language', path, fn_pos + 1, line_no, fn_name || ': ' || line FROM q_docstring_language
 UNION ALL SELECT {K}, 'parameter_language', path, fn_pos + 1, NULL, fn_name || ': ' || param FROM q_param_language
 UNION ALL SELECT {K}, 'variable_language', path, fn_pos + 1, NULL, fn_name || ': ' || variable FROM q_variable_language
 UNION ALL SELECT {K}, 'docstring_parameters', path, fn_pos + 1, NULL, drift || ' ' || names FROM q_docstring_param_drift"""
+CTE["q_numbered_findings"] = """
+SELECT *, row_number() OVER (PARTITION BY repo, branch, rule_id ORDER BY path, seq, line_no NULLS FIRST, detail) AS number FROM q_findings"""
 CTE["asked"] = """
 SELECT u.request_id, u.url, u.repo, b.branch,
   CASE WHEN NOT f.accepted THEN 'REFUSED: ' || f.reason WHEN len(string_split(u.url, '/')) < 4 THEN 'SHORT_URL'
@@ -828,6 +837,10 @@ SELECT a.request_id, a.url, a.repo, a.branch, coalesce(a.refusal, s.audit_status
   s.* EXCLUDE (repo, branch, audit_status)
 FROM asked a LEFT JOIN q_scorecard s ON a.refusal IS NULL AND a.repo = s.repo AND a.branch = s.branch"""
 
+CTE["q_audit_documents"] = f"""
+SELECT request_id, audit_status IN ('OK', 'NO_SCOPE_FILES') AS success, CASE WHEN audit_status NOT IN ('OK', 'NO_SCOPE_FILES') THEN audit_status END AS error,
+  branch, url, CASE WHEN audit_status IN ('OK', 'NO_SCOPE_FILES') THEN repo END AS repo_value, {', '.join(f"CAST({c} AS VARCHAR) AS {c}_value" for c in CELLS)} FROM q_audit_by_request"""
+
 
 def statement(name: str) -> str:
     """The named result with every subquery it needs, in dependency order."""

@@ -74,7 +74,6 @@ FILE_RULES = {
     "comment_verdicts": comments.comment_verdicts,
     "comment_file_count": comments.comment_file_count,
     "docstring_param_drift": language.docstring_param_drift,
-    "findings_text": report.findings_text,
 }
 
 DOCUMENT_RULES = {
@@ -89,6 +88,8 @@ DICTIONARY_RULES = {
     "variable_language": language.variable_language,
     "language_report": language.language_report,
     "findings": findings.findings,
+    "findings_text": report.findings_text,
+    "numbered_findings": lambda rf, words: report.numbered_findings(findings.findings(rf, words)),
     "scorecard": scorecard.scorecard,
     "status_classes": lambda rf, words: scorecard.status_classes(scorecard.scorecard(rf, words)),
     "scorecard_json": lambda rf, words: json_fields(scorecard.scorecard_json(scorecard.scorecard(rf, words))),
@@ -107,12 +108,20 @@ def json_fields(documents: DataFrame) -> DataFrame:
     columns = F.from_json(value("$.columns"), "array<string>")
     return documents.select(
         "repo", "branch", (value("$.success") == "true").alias("success"),
-        *(value(f"$.data.{c}[0]").alias(f"{c}_value")
-          for c in ("repo", "spark_read", "conf_chars", "constant_names", "versions")),
+        *(value(f"$.data.{c}[0]").alias(f"{c}_value") for c in ("repo", *scorecard.CELLS)),
         F.array_join(columns, ",").alias("column_list"),
     )
 
 
+def request_fields(documents: DataFrame) -> DataFrame:
+    value = lambda path: F.get_json_object("document", path)
+    return documents.select(
+        "request_id", (value("$.success") == "true").alias("success"), value("$.error").alias("error"), value("$.branch").alias("branch"),
+        F.coalesce(value("$.url"), value("$.data.url[0]")).alias("url"),
+        *(value(f"$.data.{c}[0]").alias(f"{c}_value") for c in ("repo", *scorecard.CELLS)),
+    )
+
+
 def queries() -> dict[str, Query]:
     registry: dict[str, Query] = {}
     for name, rule in LISTING_RULES.items():
@@ -128,6 +137,7 @@ def queries() -> dict[str, Query]:
         registry[name] = lambda spark, sf_dir, rule=rule: rule(corpus.audit_requests(spark, sf_dir))
     registry["audit_by_request"] = lambda spark, sf_dir: findings.audit_by_request(
         corpus.audit_requests(spark, sf_dir), registry["scorecard"](spark, sf_dir))
+    registry["audit_documents"] = lambda spark, sf_dir: request_fields(findings.audit_documents(registry["audit_by_request"](spark, sf_dir)))
     registry["english_texts"] = lambda spark, sf_dir: language.english_texts(
         corpus.documents(spark, sf_dir), language.english_dictionary(corpus.documents(spark, sf_dir)))
     return registry

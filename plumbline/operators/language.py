@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,18 @@ def english_dictionary(documents: DataFrame, policy: AuditPolicy = DEFAULT_POLIC
     return zipf_table(documents).filter(F.col("zipf") >= policy.min_zipf).select(F.col("word").alias("key"))
 
 
+def merged_counts(*tables: DataFrame) -> DataFrame:
+    """Word counts of several collections as those of all their documents: new documents are counted, old ones not read."""
+    return reduce(DataFrame.unionByName, tables).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_english").alias("n_english"))
+
+
+def stored_dictionary(counts: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataFrame:
+    """The dictionary of a stored table of `word_counts`; equal to `english_dictionary` of its documents."""
+    total = counts.agg(F.sum("n_english").alias("total")).scalar()
+    frequent = zipf(F.col("n_english"), total) >= policy.min_zipf
+    return counts.filter("n_english > 0").filter(frequent).select(F.col("word").alias("key"))
+
+
 def dictionary_bound(policy: AuditPolicy) -> float:
     """Most words a dictionary can have, whatever the corpus.
 

@@ -88,3 +88,20 @@ def test_large_dictionaries_are_joined_with_a_salt(spark, make_files, make_dicti
 def test_lookup_keys(spark):
     df = spark.createDataFrame([("(Hello),",), ("don't",), ("((",)], "w string")
     assert [r[0] for r in df.select(words.lookup_key(F.col("w"))).collect()] == ["hello", "don't", ""]
+
+
+def test_stored_counts_merge_to_those_of_all_documents(spark, tmp_path):
+    from plumbline.plans import scorecard
+    from plumbline.sources import corpus
+
+    documents = corpus.documents(spark, "/root/testdata/sf0.001")
+    for k in range(2):
+        L.word_counts(documents.filter(f"doc_id % 2 = {k}")).write.parquet(str(tmp_path / str(k)))
+    merged = L.merged_counts(*(spark.read.parquet(str(tmp_path / str(k))) for k in range(2)))
+    assert sorted(merged.collect()) == sorted(L.word_counts(documents).collect())
+    merged.write.parquet(str(tmp_path / "all"))
+    stored = L.stored_dictionary(spark.read.parquet(str(tmp_path / "all")))
+    whole = L.english_dictionary(documents)
+    assert sorted(stored.collect()) == sorted(whole.collect()) and stored.count() > 50
+    files = corpus.repo_files(spark, "/root/testdata/sf0.001")
+    assert sorted(scorecard.scorecard(files, stored).collect()) == sorted(scorecard.scorecard(files, whole).collect())

@@ -72,14 +72,14 @@ def test_status_class(spark, text, status):
     assert df.select(scorecard.status_class(F.col("t"))).first()[0] == status
 
 
-def test_numbers_run_from_one_per_block(corpus_files):
-    for row in report.findings_text(corpus_files).collect():
+def test_numbers_run_from_one_per_block(corpus_files, known):
+    for row in report.findings_text(corpus_files, known).collect():
         numbers = [int(n) for n in re.findall(r"(?m)^ *(\d+)\. ", row.block)]
         assert numbers == list(range(1, len(numbers) + 1))
 
 
 def test_written_report_is_in_order(corpus_files, tmp_path):
-    blocks = report.findings_text(corpus_files)
+    blocks = report.file_blocks(corpus_files).filter("file_ord IS NOT NULL")
     report.write_report(blocks, str(tmp_path / "out"))
     import glob
 
@@ -89,3 +89,71 @@ def test_written_report_is_in_order(corpus_files, tmp_path):
     for part in sorted(glob.glob(str(tmp_path / "out" / "part-*"))):
         written += [(r["repo"], r["file_ord"]) for r in pq.read_table(part).to_pylist()]
     assert len(written) == blocks.count() and written == sorted(written)
+
+
+def test_running_numbers_equal_a_window(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 10 < 8, 'hot', concat('g', id % 17))) AS g", "id % 701 AS v", "id AS w")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = report.running_numbers(rows, ("g",), ("v", "w"))
+        want = rows.withColumn("number", F.row_number().over(Window.partitionBy("g").orderBy("v", "w")))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _body_scans(frame):
+    """Scans of the documents that read their texts."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"FileScan parquet \[[^\]]*\btext#", plan))
+
+
+def test_findings_and_texts_read_the_bodies_twice(corpus_files, make_dictionary):
+    from plumbline.plans import findings
+
+    words = make_dictionary("the", "and")  # no scan of its own
+    assert _body_scans(findings.file_findings(corpus_files)) == 1
+    assert _body_scans(findings.findings(corpus_files, words)) == 2
+    assert _body_scans(report.findings_text(corpus_files, words)) == 2
+    assert _body_scans(scorecard.scorecard(corpus_files, words)) == 2
+
+
+def test_findings_name_pandas_and_the_last_namesake_wins(make_files, known):
+    from plumbline.plans import findings
+
+    rf = make_files({"R": {
+        "a/transformations/transformations_x.py": "import pandas\nload_a = 1\n", "b/transformations/transformations_x.py": "load_b = 1\n",
+        "c/transformations/transformations_y.py": "from pandas import DataFrame\n", "d/transformations/transformations_y.py": "from pandas import Series\n"}})
+    rows = {(r.rule_id, r.path, r.detail) for r in findings.findings(rf, known).collect() if r.rule_id in ("pandas", "variable_verb")}
+    assert rows == {("pandas", "transformations_y.py", "imports pandas"), ("variable_verb", "transformations_x.py", "load_b")}
+    texts = {(r.rule_id, r.block) for r in report.findings_text(rf, known).collect() if r.rule_id in ("pandas", "variables")}
+    assert texts == {("variables", "transformations_x.py:\n  1. load_b"), ("pandas", "✅ transformations_x.py: no"),
+                     ("pandas", "❌ transformations_y.py: yes"), ("pandas", "✅ utils.py: no")}
+
+
+def test_every_request_row_gets_one_answer(spark, make_files, known):
+    from plumbline.plans import findings
+
+    url = "https://host.example.com/projects/P/repos/R/browse"
+    rows = [(1, url, None, True), (1, url, None, True), (None, url, "  ", True), (None, "", None, True), (2, "x/y", "b", True), (3, url, "other", True), (4, None, None, None)]
+    requests = spark.createDataFrame(rows, "request_id long, url string, branch string, has_token boolean")
+    card = scorecard.scorecard(make_files({"R": {"README.md": "x"}}), known)
+    from plumbline.policy import AuditPolicy
+
+    policy = AuditPolicy(url_pattern="^https://host\\.example\\.com/")
+    got = findings.audit_by_request(requests, card, policy)
+    status = sorted((str(r.request_id), r.audit_status) for r in got.collect())
+    assert status == [("1", "NO_SCOPE_FILES"), ("1", "NO_SCOPE_FILES"), ("2", "SHORT_URL"), ("3", "UNKNOWN_REPOSITORY"), ("4", "REFUSED: no url and token"),
+                      ("None", "NO_SCOPE_FILES"), ("None", "REFUSED: no url")]
+    import json
+
+    documents = [json.loads(r.document) for r in findings.audit_documents(got).collect()]
+    good = [d for d in documents if d["success"]]
+    assert len(documents) == 7 and len(good) == 3
+    assert all(d["data"]["url"] == [url] and len(d["data"]) == len(d["columns"]) == 24 for d in good)
+    assert all(set(d) == {"success", "error", "url", "branch"} for d in documents if not d["success"])
