@@ -113,14 +113,14 @@ def _body_scans(frame):
     return len(re.findall(r"FileScan parquet \[[^\]]*\btext#", plan))
 
 
-def test_findings_and_texts_read_the_bodies_twice(corpus_files, make_dictionary):
+def test_findings_and_texts_read_the_bodies_twice(spark, make_dictionary):
     from plumbline.plans import findings
 
-    words = make_dictionary("the", "and")  # no scan of its own
-    assert _body_scans(findings.file_findings(corpus_files)) == 1
-    assert _body_scans(findings.findings(corpus_files, words)) == 2
-    assert _body_scans(report.findings_text(corpus_files, words)) == 2
-    assert _body_scans(scorecard.scorecard(corpus_files, words)) == 2
+    files, words = corpus.repo_files(spark, "/root/testdata/sf0.01"), make_dictionary("the", "and")  # neither is cached
+    assert _body_scans(findings.file_findings(files)) == 1
+    assert _body_scans(findings.findings(files, words)) == 2
+    assert _body_scans(report.findings_text(files, words)) == 2
+    assert _body_scans(scorecard.scorecard(files, words)) == 2
 
 
 def test_findings_name_pandas_and_the_last_namesake_wins(make_files, known):
