@@ -3,7 +3,7 @@
 Every word and every pair of words is an n-gram. It is hashed twice: as it is written, and by shape. A
 shape has one sign for each run of small letters, capitals or digits, and a pair of equal words has one
 of its own. `BINS` is shared out between words, pairs and shapes (`_parts`). `bin_weights` counts the
-bins over all documents (raw) and over the trusted ones (target) and gives `log p_target - log p_raw`
+bins over all documents (raw) and over at most `TRUSTED_TEXTS` trusted ones (target), in one pass, and gives `log p_target - log p_raw`
 for each bin, smoothed towards the raw share of its part; the table has `BINS` entries whatever the corpus. The score of
 a text is the mean weight of its n-grams. A text is kept unless its score is below `THRESHOLD` or the
 base rule fails.
@@ -31,6 +31,8 @@ from .shared import SPACE, WORD, written
 
 BINS = 1 << 17
 THRESHOLD = -1.0
+#: Trusted documents that the target is counted over, at most; raw counts cover all documents.
+TRUSTED_TEXTS = 20_000
 SMOOTHING = 0.5
 #: Of a bin of words or pairs: least count found or expected in the target, and least multiple of the median raw count.
 LEAST_COUNT = 8
@@ -57,10 +59,9 @@ def _shaped(text: Column) -> Column:
 
 
 def _with_hashes(docs: DataFrame, *keep: str) -> DataFrame:
-    """Adds `hashes`, one 64-bit hash a word, and `shapes`, one shape a word."""
-    return (docs.select(*keep, _text().alias("text"))
-            .withColumn("shapes", _word_array(_shaped(F.col("text"))))
-            .withColumn("hashes", F.transform(_word_array(F.col("text")), lambda w: F.xxhash64(w))))
+    """Adds `hashes` and `shapes`: a 64-bit hash of every word, and of every word's shape."""
+    hashed = lambda text: F.transform(_word_array(text), lambda w: F.xxhash64(w))
+    return docs.select(*keep, _text().alias("text")).withColumn("shapes", hashed(_shaped(F.col("text")))).withColumn("hashes", hashed(F.col("text")))
 
 
 def _parts(bins: int) -> tuple[int, int]:
@@ -68,48 +69,50 @@ def _parts(bins: int) -> tuple[int, int]:
     return bins * 3 // 8, bins * 7 // 8
 
 
-def _split_grams(bins: int) -> tuple[Column, Column]:
-    """Own bins and shape bins of all words, then of all word pairs; needs `hashes` and `shapes`."""
-    later = lambda c: F.slice(F.col(c), F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
-    pairs = F.arrays_zip(later("shapes").alias("shape"), later("hashes").alias("hash"), F.col("shapes").alias("shape_before"), F.col("hashes").alias("hash_before"))
-    pairs = F.slice(pairs, F.lit(1), F.greatest(F.size("shapes") - 1, F.lit(0)))
+def _place(h: Column, start: int, end: int) -> Column:
+    return (F.pmod(h, F.lit(end - start)) + start).cast("int")
+
+
+def _word_bins(bins: int, hashed: Column, shape: Column) -> tuple[Column, Column]:
+    """Own bin and shape bin of a word."""
     at_pairs, at_shapes = _parts(bins)
-    place = lambda h, start, end: (F.pmod(h, F.lit(end - start)) + start).cast("int")
-    own = F.concat(
-        F.transform("hashes", lambda h: place(h, 0, at_pairs)),
-        F.transform(pairs, lambda p: place(F.xxhash64(p["hash"], p["hash_before"]), at_pairs, at_shapes)))
-    shape = F.concat(
-        F.transform("shapes", lambda s: place(F.xxhash64(s), at_shapes, bins)),
-        F.transform(pairs, lambda p: place(F.xxhash64(p["shape"], p["shape_before"], p["hash"] == p["hash_before"]), at_shapes, bins)))
-    return own, shape
+    return _place(hashed, 0, at_pairs), _place(shape, at_shapes, bins)
 
 
-def _grams(bins: int) -> Column:
-    """All bins of a text, two for each word and word pair; needs `hashes` and `shapes`."""
-    return F.concat(*_split_grams(bins))
+def _pair_bins(bins: int, hashed: Column, before: Column, shape: Column, shape_before: Column) -> tuple[Column, Column]:
+    """Own bin and shape bin of a word and the one before it; null where there is none."""
+    at_pairs, at_shapes = _parts(bins)
+    pair = lambda h: F.when(before.isNotNull(), h)
+    return (_place(pair(F.xxhash64(hashed, before)), at_pairs, at_shapes),
+            _place(pair(F.xxhash64(shape, shape_before, hashed == before)), at_shapes, bins))
 
 
-def _marked(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`(doc_id, text, good)` of documents that are not trusted for certain, and of the others.
+def gram_rows(texts: DataFrame, bins: int, *keep: str) -> DataFrame:
+    """`(*keep, bin)`: two rows for each word and word pair; needs `hashes` and `shapes`.
 
-    Only the others are moved, to be joined with `trusted`: a bitmap of 2 ** 26 bits tells them apart.
+    A row a word first, so that the bins are compiled expressions over rows.
     """
-    good = trusted.select(F.col("doc_id").alias("_good")).filter("_good IS NOT NULL").distinct()
-    cell = lambda c: F.shiftrightunsigned(F.xxhash64(c), 44)
-    bits = good.groupBy(cell("_good").alias("_cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(_good) & 63 as int))")).alias("_bits"))
-    # at most 2 ** 20 rows
-    asked = docs.select("doc_id", "text", cell("doc_id").alias("_cell")).join(F.broadcast(bits), "_cell", "left").withColumn(
-        "_maybe", F.expr("coalesce(shiftrightunsigned(_bits, cast(xxhash64(doc_id) & 63 as int)) & 1L, 0L)"))
-    others = asked.filter("_maybe = 1").select("doc_id", "text").join(good, F.col("doc_id") == F.col("_good"), "left")
-    return (asked.filter("_maybe = 0").select("doc_id", "text", F.lit(False).alias("good")),
-            others.select("doc_id", "text", F.col("_good").isNotNull().alias("good")))
+    at = F.explode(F.when(F.size("hashes") > 0, F.sequence(F.lit(0), F.size("hashes") - 1)).otherwise(F.array().cast("array<int>")))
+    one = texts.select(*keep, "hashes", "shapes", at.alias("i")).select(
+        *keep, *(F.get(c, F.col("i") - k).alias(f"{c}_{k}") for c in ("hashes", "shapes") for k in (0, 1)))
+    h, before, shape, shape_before = (F.col(f"{c}_{k}") for c in ("hashes", "shapes") for k in (0, 1))
+    every = F.array(*_word_bins(bins, h, shape), *_pair_bins(bins, h, before, shape, shape_before))
+    return one.select(*keep, F.explode(every).alias("bin")).filter("bin IS NOT NULL")
+
 
+def trusted_sample(trusted: DataFrame, most: int = TRUSTED_TEXTS) -> DataFrame:
+    """`(doc_id)`: at most `most` trusted documents, those of least hash."""
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
-def bin_counts(docs: DataFrame, trusted: DataFrame, bins: int = BINS) -> DataFrame:
-    """`(bin, raw, target)` over all n-grams of `docs` and of those whose doc_id is in `trusted(doc_id)`."""
-    parts = [_with_hashes(part, "good").select("good", F.explode(_grams(bins)).alias("bin")).groupBy("bin")
-             .agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target")) for part in _marked(docs, trusted)]
-    return parts[0].unionByName(parts[1]).groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+
+def bin_counts(docs: DataFrame, trusted: DataFrame, bins: int = BINS, most: int = TRUSTED_TEXTS) -> DataFrame:
+    """`(bin, raw, target)` over all n-grams of `docs`, and of those whose doc_id is in the sample of `trusted(doc_id)`."""
+    # at most `most` rows, in the session's memory once
+    good = trusted_sample(trusted, most).select(F.col("doc_id").alias("_good"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("good"))
+    return (gram_rows(_with_hashes(marked, "good"), bins, "good").groupBy("bin")
+            .agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target")))
 
 
 def bin_weights(docs: DataFrame, trusted: DataFrame, bins: int = BINS, smoothing: float = SMOOTHING) -> Column:
@@ -134,12 +137,11 @@ def bin_weights(docs: DataFrame, trusted: DataFrame, bins: int = BINS, smoothing
 def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to `hashes` and `shapes`."""
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(rf"[^{SPACE}]"))
-    windows = F.size("hashes") - (WINDOW - 1)
-    parts = [F.slice(F.col("hashes"), F.lit(k + 1), F.greatest(windows, F.lit(0))).alias(f"w{k}") for k in range(WINDOW)]
+    starts = F.when(F.size("hashes") >= WINDOW, F.sequence(F.lit(0), F.size("hashes") - WINDOW)).otherwise(F.array().cast("array<int>"))
     empty = "array<struct<win:bigint,at:int>>"
     staged = (
         _with_hashes(docs, *keep)
-        .withColumn("wins", F.transform(F.arrays_zip(*parts), lambda w: F.xxhash64(w)))
+        .withColumn("wins", F.transform(starts, lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(WINDOW)))))
         .withColumn("repeated", F.when(F.size(F.array_distinct("wins")) < F.size("wins"), F.sort_array(F.arrays_zip(
             F.col("wins").alias("win"), F.sequence(F.lit(0), F.size("wins") - 1).alias("at")))).otherwise(F.array().cast(empty)))
         .withColumn("starts", F.sort_array(F.transform(
@@ -162,12 +164,18 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, bins: int = BINS, thresho
     keep: further columns to pass on, of names other than those made here.
     """
     weights = bin_weights(docs, trusted, bins)
-    own, shape = _split_grams(bins)
-    measured = base_measures(docs, "doc_id", *keep).withColumn("grams", own).withColumn("backoff", shape)
-    said = F.zip_with("grams", "backoff", lambda g, s: F.nanvl(F.get(weights, g), F.get(weights, s)))
-    summed = F.aggregate(said, F.lit(0.0), lambda a, w: a + w)
+    measured = base_measures(docs, "doc_id", *keep)
+
+    def said(h: Column, i: Column) -> Column:
+        weight = lambda own, shape: F.nanvl(F.get(weights, own), F.get(weights, shape))
+        shape = F.get("shapes", i)
+        word = weight(*_word_bins(bins, h, shape))
+        pair = weight(*_pair_bins(bins, h, F.get("hashes", i - 1), shape, F.get("shapes", i - 1)))
+        return F.when(i > 0, word + pair).otherwise(word)
+
+    summed = F.aggregate(F.transform("hashes", said), F.lit(0.0), lambda a, w: a + w)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    score = F.when(F.size("grams") > 0, summed / F.size("grams")).otherwise(0.0)
+    score = F.when(F.size("hashes") > 0, summed / (2 * F.size("hashes") - 1)).otherwise(0.0)
     return (measured.withColumn("score", score).withColumn("base_failed", failed)
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score", *keep))

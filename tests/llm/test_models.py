@@ -44,7 +44,7 @@ def test_quality_measures_equal_plain_python(spark, documents, labels):
 
 def test_quality_weights_equal_a_direct_count(spark, documents, labels):
     trusted = labels.filter("quality = 1").select("doc_id")
-    bins = importance._with_hashes(documents, "doc_id").select("doc_id", importance._grams(64).alias("g")).collect()
+    bins = importance.gram_rows(importance._with_hashes(documents, "doc_id"), 64, "doc_id").groupBy("doc_id").agg(F.collect_list("bin").alias("g")).collect()
     good = {r[0] for r in trusted.collect()}
     raw, target = [0] * 64, [0] * 64
     for d, grams in bins:
@@ -55,6 +55,55 @@ def test_quality_weights_equal_a_direct_count(spark, documents, labels):
     assert counted == {k: (raw[k], target[k]) for k in range(64) if raw[k]}
 
 
+def test_quality_scores_equal_plain_python(spark, documents, labels):
+    """Weights, back-off and mean from each text's words; only the hashes are Spark's."""
+    import re
+    from math import log
+    from statistics import median
+
+    bins = 512
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()] + ODD + [(0, "repeated id " * 9)]
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1}
+    words = {w for _, t in rows for w in reference.WORDS.findall(t or "")}
+    shape = lambda w: re.sub(r"([aA0])\1+", r"\1", "".join("a" if c.islower() and c.isalpha() else "A" if c.isupper() else "0" if c.isdecimal() else c for c in w))
+    texts = sorted(words | {shape(w) for w in words})
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in texts], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = sorted({(a, b) for _, t in rows for a, b in itertools.pairwise(reference.WORDS.findall(t or ""))})
+    frame = spark.createDataFrame([(i, hashed[b], hashed[a], hashed[shape(b)], hashed[shape(a)], a == b) for i, (a, b) in enumerate(pairs)], "i int, b long, a long, sb long, sa long, same boolean")
+    both = {pairs[r.i]: (r.own, r.shape) for r in frame.select("i", F.xxhash64("b", "a").alias("own"), F.xxhash64("sb", "sa", "same").alias("shape")).collect()}
+    at_pairs, at_shapes = bins * 3 // 8, bins * 7 // 8
+
+    def grams(text):
+        w = reference.WORDS.findall(text or "")
+        out = [(hashed[x] % at_pairs, at_shapes + hashed[shape(x)] % (bins - at_shapes)) for x in w]
+        return out + [(at_pairs + both[p][0] % (at_shapes - at_pairs), at_shapes + both[p][1] % (bins - at_shapes)) for p in itertools.pairwise(w)]
+
+    raw, target = [0] * bins, [0] * bins
+    for d, text in rows:
+        for g in itertools.chain.from_iterable(grams(text)):
+            raw[g] += 1
+            target[g] += d in trusted
+    weight = [None] * bins
+    for start, end in ((0, at_pairs), (at_pairs, at_shapes), (at_shapes, bins)):
+        rate, load = sum(target[start:end]) / sum(raw[start:end]), 4 * median(raw[start:end])
+        for k in range(start, end):
+            if end == bins or (raw[k] >= load and max(target[k], raw[k] * rate) >= 8):
+                weight[k] = log((target[k] + 0.5) / (raw[k] * rate + 0.5))
+    assert any(w is not None for w in weight[:at_shapes])
+    got = {(r.doc_id, r.n_words): r for r in importance.quality_rules(spark.createDataFrame(rows, SCHEMA), labels.filter("quality = 1"), bins).collect()}
+    for d, text in rows:
+        said = [weight[shape_bin] if weight[own] is None else weight[own] for own, shape_bin in grams(text)]
+        r = got[d, len(reference.WORDS.findall(text or ""))]
+        assert r.score == pytest.approx(sum(said) / len(said) if said else 0.0, abs=1e-9)
+        assert r.kept == (not r.base_failed and r.score >= importance.THRESHOLD)
+
+
+def test_trusted_documents_are_bounded(spark):
+    ids = spark.createDataFrame([(d % 50 if d % 7 else None,) for d in range(200)], "doc_id long")
+    few = [r.doc_id for r in importance.trusted_sample(ids, 10).collect()]
+    assert len(few) == len(set(few)) == 10 and None not in few
+
+
 def test_quality_looks_at_words(spark):
     pick = random.Random(11)
     prose, spam = ("the river ran past a small town where people met each morning to talk".split(), "buy cheap pills now casino bonus win cash click free offer today here".split())
