@@ -28,6 +28,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +133,8 @@ class ByteSide(Side):
         self.bytes = pa.array(table, pa.large_binary())
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        # the fast form gives the same ids without the place of each token in the text
+        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class PieceSide(Side):
@@ -175,7 +177,7 @@ class Aligned:
         for side in (a, b):
             ids = side.ids(given)
             first = np.cumsum([0, *map(len, ids)])
-            every = np.fromiter((i for t in ids for i in t), np.int64, int(first[-1]))
+            every = np.fromiter(chain.from_iterable(ids), np.int64, int(first[-1]))
             ends, data = _laid(side.bytes, every)
             right &= np.array([data[ends[s] : ends[e]] == (" " + t).encode() for t, s, e in zip(given, first, first[1:])], bool)
             tokens.append((every, first, np.diff(ends)))
@@ -189,7 +191,7 @@ class Aligned:
             self.n[side, kept] = np.diff(first)[right]
         self.first = [np.concatenate([[0], np.cumsum(n)]) for n in self.n]
         self.links_a, self.links_b, self.group_a, self.group_b = align(*ends)
-        self.text_of_link = np.searchsorted(self.first[0], self.links_a, "right") - 1
+        self.text_of_link = np.repeat(np.arange(len(texts)), self.n[0])[self.links_a]
         self.n_links = np.bincount(self.text_of_link, minlength=len(texts))
         self.n_groups = self.n[0] + self.n[1] - self.n_links  # each end but the shared ones makes a link of its own
 
@@ -200,19 +202,22 @@ class Aligned:
         sign_b = 2 * na + b + nb * last_b
         sign_b[self.first[1][1:][self.n[1] > 0] - 1] += nb
         out = np.empty(len(a) + len(b), np.int64)
-        out[np.arange(len(a)) + np.searchsorted(self.group_b, self.group_a, "left")] = a + na * last_a
-        out[np.arange(len(b)) + np.searchsorted(self.group_a, self.group_b, "right")] = sign_b
+        total = int(self.group_b[-1]) + 1 if len(b) else 0  # every group has tokens of both sides
+        size_a, size_b = (np.bincount(g, minlength=total) for g in (self.group_a, self.group_b))
+        out[np.arange(len(a)) + (np.cumsum(size_b) - size_b)[self.group_a]] = a + na * last_a
+        out[np.arange(len(b)) + np.cumsum(size_a)[self.group_b]] = sign_b
         ends, data = _laid(self.signs, out)
         at = ends[self.first[0] + self.first[1]]
         return (data[s:e] for s, e in zip(at, at[1:]))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (text, pair) with counts, in order; a pair is A's id * 2 ** 32 + B's id."""
-        pair = self.id[0][self.links_a] << 32 | self.id[1][self.links_b]
-        order = np.lexsort((pair, self.text_of_link))
-        pair, text = pair[order], self.text_of_link[order]
-        new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])]) if len(pair) else np.zeros(0, np.int64)
-        return text[new], pair[new], np.diff(np.append(new, len(pair)))
+        bits = [max(n - 1, 0).bit_length() for n in self.sizes]  # vocabularies and a chunk's texts take far less than 63 bits together
+        key = (self.text_of_link << bits[0] | self.id[0][self.links_a]) << bits[1] | self.id[1][self.links_b]
+        key.sort()
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        text, a, b = key[new] >> sum(bits), key[new] >> bits[1] & (1 << bits[0]) - 1, key[new] & (1 << bits[1]) - 1
+        return text, a << 32 | b, np.diff(np.append(new, len(key)))
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:

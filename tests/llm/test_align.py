@@ -85,3 +85,15 @@ def test_long_texts_are_cut_where_no_token_reaches(monkeypatch):
             monkeypatch.setattr(align, "PART", 50)
             assert [sum(side.encode(align.parts(text, 50)), [])] == whole
             assert len(align.parts(text, 50)) > 3
+
+
+def test_ids_without_places_in_the_text():
+    """op12: the byte-level side asks for ids alone, which are those of the whole encoding."""
+    class Fast:
+        def __init__(self, own):
+            self.encode_batch_fast = own.encode_batch_fast
+
+    side, texts = align.ByteSide(A), [t or "" for _, t in ODD]
+    whole = [e.ids for e in side.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    side.tokenizer = Fast(side.tokenizer)
+    assert side.encode(texts) == whole
