@@ -21,9 +21,6 @@ a null doc_id is not trusted. Further columns are ignored.
 
 from __future__ import annotations
 
-from math import log
-from statistics import median
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,23 +112,27 @@ def bin_counts(docs: DataFrame, trusted: DataFrame, bins: int = BINS, most: int
             .agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target")))
 
 
-def bin_weights(docs: DataFrame, trusted: DataFrame, bins: int = BINS, smoothing: float = SMOOTHING) -> Column:
-    """A constant array of `bins` log-likelihood ratios, NaN where the shape decides; the driver sees these `bins` counts only."""
-    raw, target = [0] * bins, [0] * bins
-    for r in written(bin_counts(docs, trusted, bins), "bin-counts").collect():
-        raw[r["bin"]], target[r["bin"]] = r["raw"], r["target"]
+def weight_table(counts: DataFrame, bins: int = BINS, smoothing: float = SMOOTHING) -> DataFrame:
+    """`(weights)`: one row with `bins` log-likelihood ratios joined by commas, NaN where the shape decides, from `counts(bin, raw, target)`."""
     at_pairs, at_shapes = _parts(bins)
-    weights: list[str] = []
-    for start, end in ((0, at_pairs), (at_pairs, at_shapes), (at_shapes, bins)):
-        all_raw, all_target = sum(raw[start:end]), sum(target[start:end])
-        load = LEAST_LOAD * median(raw[start:end])
-        for k in range(start, end):
-            expected = raw[k] * all_target / all_raw if all_target else 0.0
-            if all_target and end < bins and (raw[k] < load or max(target[k], expected) < LEAST_COUNT):
-                weights.append("NaN")
-            else:
-                weights.append(repr(log((target[k] + smoothing) / (expected + smoothing))))
-    return F.split(F.lit(",".join(weights)), ",").cast("array<double>")
+    part = F.when(F.col("bin") < at_pairs, 0).when(F.col("bin") < at_shapes, 1).otherwise(2)
+    filled = (F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "target"))
+    every = counts.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").select("bin", part.alias("part"), *filled)
+    parts = every.groupBy("part").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"), (F.median("raw") * LEAST_LOAD).alias("load"))
+    expected = F.when(F.col("all_target") > 0, F.col("raw").cast("double") * F.col("all_target") / F.col("all_raw")).otherwise(0.0)
+    untold = (F.col("all_target") > 0) & (F.col("part") < 2) & ((F.col("raw") < F.col("load")) | (F.greatest(F.col("target").cast("double"), expected) < LEAST_COUNT))
+    weight = F.when(untold, F.lit(float("nan"))).otherwise(F.log((F.col("target") + smoothing) / (expected + smoothing)))
+    placed = every.join(F.broadcast(parts), "part").agg(F.array_sort(F.collect_list(F.struct("bin", weight.alias("weight")))).alias("placed"))
+    return placed.select(F.array_join(F.transform("placed", lambda x: x["weight"].cast("string")), ",").alias("weights"))
+
+
+def bin_weights(docs: DataFrame, trusted: DataFrame, bins: int = BINS, smoothing: float = SMOOTHING) -> Column:
+    """A constant array of `bins` log-likelihood ratios; the driver sees one text of them only.
+
+    Use it once in a frame: every use is written out in every plan that Spark prints for its listeners.
+    """
+    counts = written(bin_counts(docs, trusted, bins), "bin-counts")
+    return F.split(F.lit(weight_table(counts, bins, smoothing).first()["weights"]), ",").cast("array<double>")
 
 
 def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
@@ -163,17 +164,20 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, bins: int = BINS, thresho
 
     keep: further columns to pass on, of names other than those made here.
     """
-    weights = bin_weights(docs, trusted, bins)
     measured = base_measures(docs, "doc_id", *keep)
 
-    def said(h: Column, i: Column) -> Column:
-        weight = lambda own, shape: F.nanvl(F.get(weights, own), F.get(weights, shape))
-        shape = F.get("shapes", i)
-        word = weight(*_word_bins(bins, h, shape))
-        pair = weight(*_pair_bins(bins, h, F.get("hashes", i - 1), shape, F.get("shapes", i - 1)))
-        return F.when(i > 0, word + pair).otherwise(word)
+    def total(weights: Column) -> Column:
+        def said(h: Column, i: Column) -> Column:
+            weight = lambda own, shape: F.nanvl(F.get(weights, own), F.get(weights, shape))
+            shape = F.get("shapes", i)
+            word = weight(*_word_bins(bins, h, shape))
+            pair = weight(*_pair_bins(bins, h, F.get("hashes", i - 1), shape, F.get("shapes", i - 1)))
+            return F.when(i > 0, word + pair).otherwise(word)
+
+        return F.aggregate(F.transform("hashes", said), F.lit(0.0), lambda a, w: a + w)
 
-    summed = F.aggregate(F.transform("hashes", said), F.lit(0.0), lambda a, w: a + w)
+    # handed to the lambda, so that the plan holds the array once
+    summed = F.get(F.transform(F.array(bin_weights(docs, trusted, bins)), total), F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     score = F.when(F.size("hashes") > 0, summed / (2 * F.size("hashes") - 1)).otherwise(0.0)
     return (measured.withColumn("score", score).withColumn("base_failed", failed)

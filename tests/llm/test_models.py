@@ -311,3 +311,12 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns
     encoded = pipeline.run(spark, SMALL)
     assert encoded.count() == mixed.count()
+
+
+def test_quality_weights_stand_once_in_a_plan(spark, documents, labels, monkeypatch):
+    """pipeline: each use of the constant weights took its megabytes of driver memory again, in every printed plan."""
+    text = ",".join(["NaN"] * 60 + ["0.123456789"] * 4)
+    monkeypatch.setattr(importance, "bin_weights", lambda *a: F.split(F.lit(text), ",").cast("array<double>"))
+    for made in (importance.quality_rules, importance.passing_documents):
+        plan = made(documents, labels, 64)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("0.123456789") == 4
