@@ -48,7 +48,7 @@ def file_blocks(files: DataFrame, policy: AuditPolicy = DEFAULT_POLICY) -> DataF
         F.lit(rule).alias("rule_id"), key.alias("path"), order.alias("order"),
         F.when(~F.lit(rule).isin("variables", "pandas"), F.col("file_ord")).alias("file_ord"), block.alias("block"),
     ) for rule, key, order, block in rules))
-    found = with_symbols(files, scoped | in_variables).select(*REPO_KEY, F.inline_outer(rows)).filter(F.col("block").isNotNull())
+    found = with_symbols(files, scoped | in_variables, headers_only=True).select(*REPO_KEY, F.inline_outer(rows)).filter(F.col("block").isNotNull())
     name = basename(F.col("path"))
     absent = scopes.missing_paths(files, scopes.PANDAS_FIXED).select(
         *REPO_KEY, F.lit("pandas").alias("rule_id"), name.alias("path"),
