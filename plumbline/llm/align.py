@@ -14,7 +14,9 @@ is one number per entry of B's vocabulary.
 Token bytes: A's entries in byte-level decoding; B's pieces in UTF-8 with U+2581 as a blank, byte pieces as
 their byte. A text whose tokens do not spell a blank and the text on both sides has no tokens. Texts longer than
 `PART` characters are encoded in parts that begin at a single blank between letters, where neither vocabulary
-has a token across; other texts of that length are encoded whole.
+has a token across; other texts of that length are encoded whole. Texts are cut at such blanks, also after a full stop or
+comma, into words, and a word of letters is encoded once by a worker that still knows it: each keeps up to `WORDS` of them
+and the new ones of a chunk. A side's ids of a text are those of its words.
 
 Defined results: null and empty texts have zeros and no groups; repeated rows are aligned one by one and
 each counts; a null doc_id is kept; an empty table gives an empty result; further columns are ignored. The
@@ -46,6 +48,14 @@ PAIR_BOUND = 1 << 20
 CHUNK = 1 << 19
 PART = 1 << 20
 _BORDER = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Words that a worker keeps the ids of, those encoded together, and the longest one.
+WORDS = 1 << 18
+TOGETHER = 256
+LONGEST = 64
+#: Letters that no normalisation changes. The blank comes first, as a literal is found faster.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD_BORDER = re.compile(f" (?<=[{_LATIN}.,] )(?=[{_LATIN}])")
+_KEPT = re.compile(f"[{_LATIN}]+[.,]?")
 
 
 def pieces(a: np.ndarray, b: np.ndarray, size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +159,62 @@ class PieceSide(Side):
         return self.tokenizer.encode(texts, num_threads=1)
 
 
+class Words:
+    """Ids of texts on both sides, put together from those of their words."""
+
+    def __init__(self, *sides: Side):
+        self.sides, self.sizes = sides, [np.diff(np.frombuffer(s.bytes.buffers()[1], np.int64)[: len(s.bytes) + 1]) for s in sides]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int64) for _ in self.sides]
+        self.first = [np.zeros(1, np.int64) for _ in self.sides]
+
+    def _encoded(self, k: int, kept: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of side k of all these words, and how many each has."""
+        groups = [" ".join(kept[i : i + TOGETHER]) for i in range(0, len(kept), TOGETHER)]
+        ids = np.fromiter(chain.from_iterable(self.sides[k].encode(groups)), np.int64)
+        ends = np.cumsum(self.sizes[k][ids])
+        wanted = np.cumsum([len(w.encode()) + 1 for w in kept])
+        last = np.searchsorted(ends, wanted)
+        if len(kept) and not (ends[-1] == wanted[-1] and np.array_equal(ends[last], wanted)):
+            kept, odd, ids, last = [], kept + odd, ids[:0], last[:0]  # not spelled by their tokens
+        alone = self.sides[k].ids(odd)
+        n = np.concatenate([np.diff(last, prepend=-1), np.fromiter(map(len, alone), np.int64, len(alone))])
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(alone), np.int64)]), n
+
+    def of_texts(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each side: the ids of all texts, and where each text's begin; the end comes last."""
+        if len(self.place) > WORDS:
+            self.forget()
+        split = [_WORD_BORDER.split(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        new = set(words).difference(self.place)
+        kept = [w for w in new if len(w) <= LONGEST and _KEPT.fullmatch(w)]
+        odd = list(new.difference(kept))
+        known = len(self.place) + len(kept)
+        self.place.update(zip(kept + odd, range(len(self.place), known + len(odd))))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        of_text = np.cumsum([0, *map(len, split)])
+        out = []
+        for k in range(len(self.sides)):
+            ids, n = self._encoded(k, kept, odd)
+            ids, first = np.concatenate([self.ids[k], ids]), np.concatenate([self.first[k], self.first[k][-1] + np.cumsum(n)])
+            start, size = first[at], first[at + 1] - first[at]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            out.append((ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends[of_text]))
+            self.ids[k], self.first[k] = ids[: first[known]].copy(), first[: known + 1].copy()
+        for word in odd:
+            del self.place[word]
+        return out
+
+
+@lru_cache(maxsize=2)
+def words_of(a: Side, b: Side) -> Words:
+    return Words(a, b)
+
+
 @lru_cache(maxsize=2)
 def sides(a_path: str, b_path: str) -> tuple[Side, Side, pa.Array]:
     """Both tokenizers, and the signs of groups: A ids before `,`, before `|`, B ids before `,`, before `;`, at the end."""
@@ -174,10 +240,7 @@ class Aligned:
         given = [texts[k] for k in full]
         tokens = []
         right = np.ones(len(full), bool)
-        for side in (a, b):
-            ids = side.ids(given)
-            first = np.cumsum([0, *map(len, ids)])
-            every = np.fromiter(chain.from_iterable(ids), np.int64, int(first[-1]))
+        for side, (every, first) in zip((a, b), words_of(a, b).of_texts(given)):
             ends, data = _laid(side.bytes, every)
             right &= np.array([data[ends[s] : ends[e]] == (" " + t).encode() for t, s, e in zip(given, first, first[1:])], bool)
             tokens.append((every, first, np.diff(ends)))

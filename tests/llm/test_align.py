@@ -97,3 +97,22 @@ def test_ids_without_places_in_the_text():
     whole = [e.ids for e in side.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
     side.tokenizer = Fast(side.tokenizer)
     assert side.encode(texts) == whole
+
+
+def test_words_met_before_are_not_encoded_again(spark, monkeypatch):
+    """op12: ids put together from those of words are those of the whole text, and a word is encoded once."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text] + [t for _, t in ODD if t]
+    texts += ["A b. C, d.  E\n F é À la l'été x1 y", "a  b ​ c d é f ﬁ g", " a. b", "a b ", "don't can't. we'll go ", "a. \n b ,c . d", "x" * 100 + " " + "y" * 100]
+    pair = align.sides(A, B)[:2]
+    words, seen = align.Words(*pair), []
+    for bound in (align.WORDS, 0):
+        monkeypatch.setattr(align, "WORDS", bound)
+        for some in (texts[::2], texts[1::2], texts):
+            for side, (ids, first) in zip(pair, words.of_texts(some)):
+                assert [list(ids[s:e]) for s, e in zip(first, first[1:])] == side.encode(some)
+    monkeypatch.setattr(align, "WORDS", 1 << 18)
+    words = align.Words(*pair)
+    monkeypatch.setattr(align.ByteSide, "encode", lambda self, given, own=align.ByteSide.encode: seen.extend(given) or own(self, given))
+    for _ in range(2):
+        words.of_texts(["Alpha beta, gamma. Delta"])
+    assert sorted(" ".join(seen).split()) == ["Alpha", "Delta", "beta,", "gamma."]
